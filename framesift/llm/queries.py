@@ -14,6 +14,7 @@ from .lines import LEAST_PAGES, RATIO, drop_boilerplate
 from .secrets import secret_spans
 from .simhash import simhash_components
 from .topk import top_k
+from .toxicity import held_out, toxicity
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    out = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), keep=["doc_id"])
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_components(read(spark, sf_dir, "documents"))
@@ -62,7 +69,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_topk, op5_simhash, op6_lines, op7_secrets, op9_licenses, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op9_licenses, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op3_topk": """
