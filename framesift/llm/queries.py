@@ -13,6 +13,8 @@ from .licenses import license_scan
 from .lines import LEAST_PAGES, RATIO, drop_boilerplate
 from .secrets import secret_spans
 from .simhash import simhash_components
+from .substrings import repeated_passages
+from .tokenstore import read_tokens, store_path, write_tokens
 from .topk import top_k
 from .toxicity import held_out, toxicity
 
@@ -23,6 +25,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts, sizes and checksums of every document's ids, read back from the written blocks."""
+    path = store_path(spark)
+    write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path)
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best inner products of every fiftieth vector."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -54,6 +63,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", kind("assign").alias("n_assign"), kind("access").alias("n_access"), kind("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that documents repeat."""
+    return repeated_passages(read(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of license phrases and license labels of every document."""
     out = license_scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -69,7 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op9_licenses, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_tokens, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op8_substrings, op9_licenses, op10_decontaminate)}
 
 ORACLE_SQL = {
     "op3_topk": """
