@@ -50,7 +50,7 @@ def borrow_offsets(items: DataFrame, rules: Trip = Trip()) -> DataFrame:
     before, after, most = F.col("us") - F.col("__p.us"), F.col("__n.us") - F.col("us"), int(rules.borrow_hours * 3.6e9)
     near = F.when(before.isNotNull() & (after.isNull() | (before <= after)), F.when(before <= most, F.col("__p.off_s"))).otherwise(F.when(after <= most, F.col("__n.off_s")))
     borrowed = F.when(F.col("off_s").isNull(), near)
-    return one.withColumn("borrowed", borrowed).withColumn("us", F.col("us") - F.coalesce(F.col("borrowed"), F.lit(0)) * 1_000_000).withColumn("off_s", F.coalesce("off_s", "borrowed")).drop("__d", "__p", "__n")
+    return one.withColumn("borrowed", borrowed).withColumn("us", F.col("us") - F.coalesce(F.col("borrowed"), F.lit(0)).cast("bigint") * 1_000_000).withColumn("off_s", F.coalesce("off_s", "borrowed")).drop("__d", "__p", "__n")
 
 
 def todo(wanted: DataFrame, cached: DataFrame, key: str) -> DataFrame:

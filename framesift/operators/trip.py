@@ -12,7 +12,7 @@ from ..functions.columns import haversine_km
 
 def local_day(us: str = "us", off: str = "off_s"):
     """Local date of a time in microseconds and an offset in seconds (null: UTC)."""
-    return F.to_date(F.timestamp_micros(F.col(us) + F.coalesce(F.col(off), F.lit(0)) * 1_000_000))
+    return F.to_date(F.timestamp_micros(F.col(us) + F.coalesce(F.col(off), F.lit(0)).cast("bigint") * 1_000_000))
 
 
 def steps(items: DataFrame) -> DataFrame:
