@@ -256,7 +256,11 @@ def band_keys(fp: np.ndarray, shingles: np.ndarray) -> np.ndarray:
 
 
 def wide_links(fp: np.ndarray, run: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (row, root) that connect the rows within ``limit`` bits of each other inside each run; distances to pivots discard pairs first."""
+    """Row pairs (row, root) that connect the rows within ``limit`` bits of each other inside each run; distances to pivots discard pairs first.
+
+    The root is the first row reached: with runs in order of their nodes, the
+    bands of a large group agree on its roots and give the same links.
+    """
     pivots = np.array([[xxhash.xxh64_intdigest(f"pivot{k}.{w}") for w in range(fp.shape[1])] for k in range(4)], np.uint64)
     table = np.stack([np.bitwise_count(fp ^ p).sum(1, dtype=np.int32) for p in pivots])
     n, left, right = len(fp), [], []
@@ -324,7 +328,7 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     rows = cut_lineage(map_texts(df.where(F.col(f"`{id_col}`").isNotNull()), text_col, make, fields, [id_col]).select(F.col(f"`{id_col}`").cast("long").alias("id"), "fp", "shingles"))
     firsts = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("node"), F.max("shingles").alias("shingles")))
     keyed = firsts.select("node", "fp", "shingles").mapInArrow(spread, "key long, node long, fp binary")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").where("a <> b").distinct()
+    edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(search, "a long, b long").where("a <> b").distinct()
     labels = component_labels(edges)
     member = firsts.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("class_id"))
     return rows.join(member, "fp").select(F.col("id").alias(id_col), "class_id")
