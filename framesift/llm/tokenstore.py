@@ -35,7 +35,7 @@ TOTAL = 1 << TOTAL_BITS
 U = np.uint64
 WORD = U(32)
 HALF = U((1 << 32) - 1)
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 120_000
 
 
 class Lanes:
@@ -119,7 +119,7 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
         group = order[at : at + LANES]
         lens = np.array([len(blocks[i]) for i in group])
         lanes, longest = len(group), int(lens[0])
-        ids = np.zeros((longest, lanes), np.int64)
+        ids = np.zeros((longest, lanes), np.int32)
         for k, i in enumerate(group):
             ids[: lens[k], k] = blocks[i]
         live = np.searchsorted(-lens, -np.arange(longest), "left")
@@ -127,7 +127,7 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
         low, span = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
         for t in range(longest):
             n = live[t]
-            cum, now = model.predict(n), ids[t, :n]
+            cum, now = model.predict(n), ids[t, :n].astype(np.int64)
             case, value, bits = model.classify(now)
             lane = np.arange(n)
             top = cum[lane, case].astype(U)
@@ -160,13 +160,13 @@ def decompress(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
         lanes, longest = len(group), int(lens[0])
         live = np.searchsorted(-lens, -np.arange(longest), "left")
         wide = max(len(coded[i]) for i in group) // 4 + 4
-        words = np.zeros((lanes, wide), U)
+        words = np.zeros((lanes, wide), np.uint32)
         for k, i in enumerate(group):
             words[k, : len(coded[i]) // 4] = np.frombuffer(coded[i], "<u4")
         model, used = Lanes(lanes), np.full(lanes, 2)
         low, span = np.zeros(lanes, U), np.full(lanes, U(0xFFFFFFFFFFFFFFFF))
-        code = words[:, 0] << WORD | words[:, 1]
-        ids = np.zeros((longest, lanes), np.int64)
+        code = words[:, 0].astype(U) << WORD | words[:, 1]
+        ids = np.zeros((longest, lanes), np.int32)
         for t in range(longest):
             n = live[t]
             cum = model.predict(n)
@@ -199,17 +199,21 @@ def decompress(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
 class LibraryEncoder:
     """Ids by the tokenizers library. Text is cut at lone spaces, where the splitting pattern always cuts too, so each distinct stretch is encoded once."""
 
-    ODD = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
+    RARE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 
     def __init__(self, spec: str):
         self.library, self.known = Tokenizer.from_str(spec), {}
         self.library.no_truncation()
         self.library.no_padding()
 
+    def plain(self, text: str) -> bool:
+        """Whether no space stands beside white space or at an end."""
+        return not ("  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or self.RARE.search(text))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = []
         for text in texts:
-            first, *rest = text.split(" ") if not self.ODD.search(text) else [text]
+            first, *rest = text.split(" ") if self.plain(text) else [text]
             parts.append([first, *map(" ".__add__, rest)])
         new = set(chain.from_iterable(parts)).difference(self.known)
         if new:
