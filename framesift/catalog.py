@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .functions.solar import daylight, light_score
+from .functions.solar import sun_times as sun
 from .operators import catalogue, choose, trip
 from .plans.cut_list import CUT_LIST_SQL, cut_list
 from .sources.tables import ITEMS_SQL, items, table
@@ -204,5 +206,46 @@ def top_picks(spark: SparkSession, d: str) -> DataFrame:
     return choose.top_per_chapter(trip.chapters(items(spark, d)), 3).select("device", "chapter", "item_id", "rank")
 
 
+@query("""SELECT o_orderkey, round(CASE WHEN kind = 'video' THEN base + 0.08 * CASE WHEN v <= 12 THEN v / 12 ELSE greatest(0, least(1, 1 - (v - 12) / 33)) END ELSE base / 0.92 END, 6) AS score FROM (
+  SELECT o_orderkey, v, kind, 0.30 * greatest(0, least(1, ln(1 + v * 50) / ln(cast(2001 as double)))) + 0.20 * 0.5 + 0.20 * CASE WHEN f = 0 THEN 0 ELSE least(1, 0.60 + 0.12 * least(f, 3) + 0.28 * 0.5) END + 0.12 * 0.25 + 0.10 * 0.75 AS base
+  FROM (SELECT o_orderkey, cast(1 + o_orderkey % 60 as double) AS v, CASE WHEN o_orderkey % 2 = 0 THEN 'video' ELSE 'photo' END AS kind, o_custkey % 5 AS f FROM orders))""")
+def composite_scores(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", (1 + F.col("o_orderkey") % 60).cast("double").alias("v"), F.when(F.col("o_orderkey") % 2 == 0, "video").otherwise("photo").alias("kind"), (F.col("o_custkey") % 5).alias("f"))
+    score = C.composite(F.col("kind"), C.norm_sharpness(F.col("v") * 50), F.lit(0.5), C.norm_faces(F.col("f"), F.lit(0.5)), F.lit(0.25), F.lit(0.75), C.norm_motion(F.col("v")))
+    return o.select("o_orderkey", F.round(score, 6).alias("score"))
+
+
+@query(None)
+def bounded_units(spark: SparkSession, d: str) -> DataFrame:
+    w = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("key")).agg(F.count("*").alias("weight"))
+    return choose.bounded_units(w.withColumns({"low": F.lit(30).cast("bigint"), "high": 38 + F.col("key") % 9}), 1000, [])
+
+
+def _sun_sql(source: str) -> str:
+    """CTEs giving rise and sets for each row (item_id, k, t, lat, lon) of a CTE."""
+    return f"""s1 AS (SELECT *, floor(t / 86400 + cast(2440587.5 as double) + 0.5) - 2451545 + cast(0.0008 as double) - lon / 360 AS j FROM {source}),
+  s2 AS (SELECT *, (((cast(357.5291 as double) + cast(0.98560028 as double) * j) % 360) + 360) % 360 AS m FROM s1),
+  s3 AS (SELECT *, (m + cast(1.9148 as double) * sin(radians(m)) + cast(0.02 as double) * sin(radians(2 * m)) + cast(0.0003 as double) * sin(radians(3 * m)) + 180 + cast(102.9372 as double)) % 360 AS e FROM s2),
+  s4 AS (SELECT *, 2451545 + j + cast(0.0053 as double) * sin(radians(m)) - cast(0.0069 as double) * sin(radians(2 * e)) AS noon, sin(radians(e)) * sin(radians(cast(23.4397 as double))) AS sd FROM s3),
+  s5 AS (SELECT *, (sin(radians(cast(-0.833 as double))) - sin(radians(lat)) * sd) / (cos(radians(lat)) * cos(asin(sd))) AS cw FROM s4),
+  sun AS (SELECT *, CASE WHEN abs(cw) > 1 THEN 0 ELSE (noon - cast(2440587.5 as double)) * 86400 - degrees(acos(greatest(-1, least(1, cw)))) * 240 END AS rise,
+    CASE WHEN abs(cw) > 1 THEN 0 ELSE (noon - cast(2440587.5 as double)) * 86400 + degrees(acos(greatest(-1, least(1, cw)))) * 240 END AS sets FROM s5)"""
+
+
+@query(f"WITH {ITEMS_SQL}, p AS (SELECT item_id, us / cast(1000000 as double) AS t, lat, lon FROM items WHERE lat IS NOT NULL), {_sun_sql('p')} SELECT item_id, round(rise, 2) AS rise, round(sets, 2) AS sets FROM sun")
+def sun_times(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d).where("lat IS NOT NULL").withColumn("s", sun(F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon")))
+    return i.select("item_id", F.round("s.rise", 2).alias("rise"), F.round("s.set", 2).alias("sets"))
+
+
+@query(f"""WITH {ITEMS_SQL}, p AS (SELECT item_id, k, us / cast(1000000 as double) AS ts, us / cast(1000000 as double) + k * 86400 AS t, lat, lon FROM items, (VALUES (-1), (0), (1)) v(k) WHERE lat IS NOT NULL), {_sun_sql('p')},
+  o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN ts BETWEEN rise AND sets THEN 0 ELSE 1 END, CASE WHEN ts BETWEEN rise AND sets THEN k ELSE 0 END, rise - sets, k) AS n FROM sun)
+  SELECT item_id, round(CASE WHEN ts < rise - 2700 OR ts > sets + 2700 THEN 0.15 WHEN ts - rise <= 4500 THEN greatest(0.6, 1 - abs(ts - rise - 1500) / 9000) WHEN sets - ts <= 4500 THEN greatest(0.6, 1 - abs(sets - ts - 1500) / 9000)
+    ELSE greatest(0.45, least(1, 0.5 + 0.2 * (abs(ts - (rise + sets) / 2) / greatest(1, (sets - rise) / 2)))) END, 4) AS light FROM o WHERE n = 1""")
+def light_scores(spark: SparkSession, d: str) -> DataFrame:
+    i = items(spark, d).where("lat IS NOT NULL").withColumn("ts", F.col("us") / F.lit(1e6)).withColumn("w", daylight(F.col("ts"), F.col("lat"), F.col("lon")))
+    return i.select("item_id", F.round(light_score(F.col("ts"), F.col("w.rise"), F.col("w.set")), 4).alias("light"))
+
+
 ORACLE_SQL["cut_list"] = CUT_LIST_SQL.replace("{CHAPTERS}", CHAPTERS_SQL)
 QUERIES["cut_list"] = cut_list

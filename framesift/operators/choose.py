@@ -60,6 +60,28 @@ def largest_remainder(rows: DataFrame, total: int, by: list[str], weight: str =
     return x.withColumn("units", F.col("units") + (F.col("__r") <= total - F.sum("units").over(g)).cast("bigint")).drop("__s", "__r")
 
 
+def bounded_units(rows: DataFrame, total: int, by: list[str], key: str = "key") -> DataFrame:
+    """Whole units (want, low, high given) that sum to ``total`` per group where the bounds allow: the clamped remainder shares, then single units moved by need.
+
+    Lows over the total stay low, highs under it stay high. Missing units go to
+    the rows furthest below their want, spare ones come from those furthest
+    above: each possible unit is a row, ranked once per group, so no loop.
+    """
+    g = Window.partitionBy(*by)
+    x = largest_remainder(rows, total, by).withColumn("high", F.greatest("low", "high"))
+    x = x.withColumn("want", F.col("weight") / F.sum("weight").over(g) * total).withColumn("out", F.greatest("low", F.least("high", "units")))
+    x = x.withColumn("miss", total - F.sum("out").over(g)).withColumn("most", F.least(F.abs("miss"), 4 * F.count("*").over(g) + 64))
+    rise, fall = (F.col("miss") > 0) & (F.col("high") > F.col("out")), (F.col("miss") < 0) & (F.col("out") > F.col("low"))
+    steps = F.when(rise, F.sequence(F.col("out"), F.least(F.col("high"), F.col("out") + F.col("most")) - 1)).when(fall, F.sequence(F.greatest(F.col("low"), F.col("out") - F.col("most")) + 1, F.col("out")))
+    unit = x.select(*by, key, "want", "most", F.signum("miss").cast("bigint").alias("sign"), F.explode(steps).alias("v"))
+    rank = Window.partitionBy(*by).orderBy((F.col("v") - F.col("want")) * F.col("sign"), F.col(key) * F.col("sign"))
+    moved = unit.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= F.col("most")).groupBy(*by, key).agg(F.sum("sign").alias("moved"))
+    lows, highs = F.sum("low").over(g), F.sum("high").over(g)
+    y = x.withColumns({"__l": lows, "__h": highs}).join(moved, [*by, key], "left")
+    out = F.when(F.col("__l") > total, F.col("low")).when(F.col("__h") <= total, F.col("high")).otherwise(F.col("out") + F.coalesce("moved", F.lit(0)))
+    return y.select(*by, key, out.alias("units"))
+
+
 def chapter_quotas(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """(device, chapter, available_s, quota_s): a chapter's share of its device's footage, of 0.7 of the target, one photo's time at least."""
     c = items.groupBy("device", "chapter").agg(F.sum("seconds").alias("available_s"))

@@ -76,6 +76,48 @@ def test_scalars(spark):
     assert list(one.select(C.duration_text(F.lit(75.0)), C.duration_text(F.lit(3661.0))).first()) == ["1:15", "1:01:01"]
 
 
+def test_bounded_units_equals_loop(spark):
+    rnd = random.Random(9)
+    rows, want = [], {}
+    for g in range(40):
+        n, total = rnd.randrange(1, 8), 50
+        w = [rnd.randrange(1, 20) for _ in range(n)]
+        low = [rnd.randrange(0, 8) for _ in range(n)]
+        high = [x + rnd.randrange(0, 25) for x in low]
+        share = [x / sum(w) * total for x in w]
+        out = [int(x) for x in share]
+        for i in sorted(range(n), key=lambda i: (-(share[i] - int(share[i])), i))[: total - sum(out)]:
+            out[i] += 1
+        if sum(low) > total:
+            out = low
+        elif sum(high) <= total:
+            out = high
+        else:
+            out = [max(a, min(b, x)) for a, b, x in zip(low, high, out)]
+            while sum(out) < total:
+                out[min((i for i in range(n) if out[i] < high[i]), key=lambda i: (out[i] - share[i], i))] += 1
+            while sum(out) > total:
+                out[max((i for i in range(n) if out[i] > low[i]), key=lambda i: (out[i] - share[i], i))] -= 1
+        for i in range(n):
+            rows.append((g, i, w[i], low[i], high[i]))
+            want[g, i] = out[i]
+    got = choose.bounded_units(spark.createDataFrame(rows, "g long, key long, weight long, low long, high long"), 50, ["g"])
+    assert {(r.g, r.key): r.units for r in got.collect()} == want
+
+
+def test_sun_times_against_almanac(spark):
+    from framesift.functions.solar import light_score, sun_times
+
+    places = [(1718928000.0, 51.5074, -0.1278, 3 * 60 + 43, 20 * 60 + 21), (1734739200.0, 51.5074, -0.1278, 8 * 60 + 4, 15 * 60 + 53)]
+    for ts, lat, lon, rise, sets in places:
+        s = spark.range(1).select(sun_times(F.lit(ts), F.lit(lat), F.lit(lon)).alias("s")).first().s
+        assert abs(s.rise % 86400 / 60 - rise) <= 6 and abs(s["set"] % 86400 / 60 - sets) <= 6
+    polar = spark.range(1).select(sun_times(F.lit(1718928000.0), F.lit(69.6492), F.lit(18.9553)).alias("s")).first().s
+    assert (polar.rise, polar["set"]) == (0.0, 0.0)
+    at = lambda x: spark.range(1).select(light_score(F.lit(float(x)), F.lit(20000.0), F.lit(70000.0)).alias("l")).first().l
+    assert at(21500) == 1.0 and at(45000) == 0.5 and at(0) == 0.15
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "item_id long, device long, us long, off_s int, lat double, lon double, score double, seconds double, reject string")
     assert trip.chapter_summary(empty).count() == trip.stops(empty).count() == choose.burst_cap(empty).count() == catalogue.borrow_offsets(empty).count() == 0
