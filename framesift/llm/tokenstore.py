@@ -36,6 +36,8 @@ U = np.uint64
 WORD = U(32)
 HALF = U((1 << 32) - 1)
 CHUNKS_KEPT = 120_000
+#: Characters of the texts split into stretches together.
+TEXT_AT_ONCE = 1 << 20
 
 
 class Lanes:
@@ -224,6 +226,17 @@ class LibraryEncoder:
             self.known.update((c, np.array(e.ids, "<u2").tobytes()) for c, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), "<u2") for p in parts]
 
+    def encode_each(self, texts: pa.Array):
+        """The ids of each text in turn, some texts at a time so that few stretches are held at once."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text.as_py())
+            size += len(some[-1])
+            if size > TEXT_AT_ONCE:
+                yield from self.encode(some)
+                some, size = [], 0
+        yield from self.encode(some)
+
 
 STORE = "part int, block int, n int, crc long, ids array<long>, ords array<int>, pieces array<int>, sizes array<int>, payload binary"
 
@@ -264,7 +277,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["part", "block", "n", "crc", "ids", "ords", "pieces", "sizes", "payload"])
 
         for batch in batches:
-            for doc, got in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
+            for doc, got in zip(batch.column(0).to_pylist(), coder.encode_each(batch.column(1))):
                 got = np.append(got, np.uint16(end_id))
                 cuts = range(0, len(got), BLOCK_IDS)
                 for k, c in enumerate(cuts):
@@ -274,9 +287,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                     ids.append(piece)
                     meta.append((doc, ordinal, k if k == len(cuts) - 1 else -k - 1, len(piece)))
                     size += len(piece)
+                    if len(waiting) == LANES:
+                        yield flush()
                 ordinal += 1
-            if len(waiting) >= LANES:
-                yield flush()
         close()
         if waiting:
             yield flush()
