@@ -249,3 +249,5 @@ def light_scores(spark: SparkSession, d: str) -> DataFrame:
 
 ORACLE_SQL["cut_list"] = CUT_LIST_SQL.replace("{CHAPTERS}", CHAPTERS_SQL)
 QUERIES["cut_list"] = cut_list
+
+from . import catalog_edit  # noqa: E402, F401  registers its queries

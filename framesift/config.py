@@ -31,6 +31,8 @@ class Trip:
 class Plan:
     target_seconds: float = 180.0
     least_photo_seconds: float = 2.0
+    photo_slot: float = 3.0
+    video_slot: float = 2.0
     title_seconds: float = 2.5
     title_share: float = 0.18
     video_share: float = 0.32

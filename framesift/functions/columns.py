@@ -86,3 +86,21 @@ def motion_name(index: Column) -> Column:
     """Camera move of a slot: seven moves in a fixed cycle."""
     moves = F.array(*map(F.lit, ("in", "out", "left", "right", "up", "down", "still")))
     return F.get(moves, F.pmod(5 * index + F.floor(index / 7), F.lit(7)).cast("int"))
+
+
+def capture_seconds(text: Column, offset: Column) -> Column:
+    """UTC seconds of a camera's local date, YYYY:MM:DD or YYYY-MM-DD with HH:MM or HH:MM:SS or no time; 0 for anything else and before 1990."""
+    part = lambda k: F.regexp_extract(F.trim(text), r"^(\d{4})([:-])(\d{1,2})\2(\d{1,2})(?: (\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$", k).try_cast("int")
+    year, month, day = part(1), part(3), part(4)
+    h, m, s = (F.coalesce(part(k), F.lit(0)) for k in (5, 6, 7))
+    first = F.make_date(F.when((year >= 1990) & month.between(1, 12), year), F.when(month.between(1, 12), month), F.lit(1))
+    real = day.between(1, F.dayofmonth(F.last_day(first))) & (h < 24) & (m < 60) & (s < 60)
+    at = (F.unix_date(first).cast("bigint") + day - 1) * 86400 + h * 3600 + m * 60 + s - F.coalesce(offset, F.lit(0))
+    return F.coalesce(F.when(real, at), F.lit(0).cast("bigint"))
+
+
+def place_label(lat: Column, lon: Column, *names: Column) -> Column:
+    """The first two distinct names that are not blank; without names the coordinates, "Unlocated" without those."""
+    told = F.array_distinct(F.filter(F.transform(F.array(*names), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    where = F.format_string("%.2f°%s %.2f°%s", F.abs(lat), F.when(lat >= 0, "N").otherwise("S"), F.abs(lon), F.when(lon >= 0, "E").otherwise("W"))
+    return F.when(F.size(told) > 0, F.array_join(F.slice(told, 1, 2), ", ")).when((lat != 0) | (lon != 0), where).otherwise("Unlocated")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,10 +10,11 @@ from ..config import Analysis, Plan
 from ..functions.columns import hamming
 
 
-def burst_cap(items: DataFrame, cap: int = 2, bucket_s: int = 60, by: tuple[str, ...] = ("device",)) -> DataFrame:
-    """At most ``cap`` items of a time bucket, best score first, ties to the least id; items without a time pass."""
+def burst_cap(items: DataFrame, cap: int = 2, bucket_s: int = 60, by: tuple[str, ...] = ("device",), rank: str | None = None) -> DataFrame:
+    """At most ``cap`` items of a time bucket, best score first, ties to the least id; items without a time pass. ``rank`` names a column to keep the place in."""
     w = Window.partitionBy(*by, F.floor(F.col("us") / (bucket_s * 1_000_000))).orderBy(F.col("score").desc(), "item_id")
-    return items.withColumn("__n", F.row_number().over(w)).where(F.col("us").isNull() | (F.col("__n") <= cap)).drop("__n")
+    kept = items.withColumn("__n", F.row_number().over(w)).where(F.col("us").isNull() | (F.col("__n") <= cap))
+    return kept.withColumnRenamed("__n", rank) if rank else kept.drop("__n")
 
 
 def near_pairs(hashes: DataFrame, most: int) -> DataFrame:
@@ -119,3 +120,30 @@ def top_per_chapter(items: DataFrame, k: int) -> DataFrame:
     """The k best items of each chapter, ties to the least id."""
     w = Window.partitionBy("device", "chapter").orderBy(F.col("score").desc(), "item_id")
     return items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def chapter_weights(items: DataFrame) -> DataFrame:
+    """(device, chapter, weight): a chapter's items plus 0.55 of the device's mean, over the sum; one chapter alone weighs 1."""
+    g = Window.partitionBy("device")
+    n = items.groupBy("device", "chapter").agg(F.count("*").alias("n"))
+    boosted = F.col("n") + F.when(F.count("*").over(g) > 1, 0.55).otherwise(0.0) * F.sum("n").over(g) / F.count("*").over(g)
+    return n.withColumn("__b", boosted).select("device", "chapter", (F.col("__b") / F.sum("__b").over(g)).alias("weight"))
+
+
+def hook_order(slots: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
+    """place (from 1): the best-scoring slot that is no title comes before the first title, or first without one; as before if fewer than four such slots or it is among the first two."""
+    g = Window.partitionBy(*by)
+    plain = ~F.col("is_title")
+    best = F.row_number().over(g.orderBy(F.col("is_title"), F.col("score").desc(), order)) == 1
+    x = slots.withColumn("__p", F.row_number().over(g.orderBy(order))).withColumn("__best", best & plain)
+    at = F.coalesce(F.min(F.when(~plain, F.col("__p"))).over(g), F.lit(1)) - 0.5
+    moves = F.col("__best") & (F.sum(plain.cast("int")).over(g) >= 4) & (F.col("__p") > 2)
+    x = x.withColumn("__k", F.when(moves, at).otherwise(F.col("__p").cast("double")))
+    return x.withColumn("place", F.row_number().over(g.orderBy("__k")).cast("bigint")).drop("__p", "__best", "__k")
+
+
+def in_point(kind: Column, start: Column, end: Column, length: Column, slot: Column) -> Column:
+    """Where a clip starts: earlier than ``start`` where its footage would end before the slot does."""
+    limit = F.least(end, F.coalesce(F.nullif(length, F.lit(0.0)), end))
+    earlier = F.greatest(F.lit(0.0), limit - slot)
+    return F.when((kind == "video") & (slot > limit - start + 1e-6) & (earlier < start - 1e-6), earlier).otherwise(start)

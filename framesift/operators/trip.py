@@ -55,6 +55,45 @@ def stops(items: DataFrame, rules: Trip = Trip()) -> DataFrame:
     return seq.select("device", F.posexplode(F.expr(fold)).alias("stop", "s")).select("device", F.col("stop").cast("bigint").alias("stop"), "s.*")
 
 
+def visits(found: DataFrame, rules: Trip = Trip()) -> DataFrame:
+    """(device, visit, lat, lon, first_us, last_us, n): neighbouring stops within 3 km and eight hours folded into one, its centre weighted by items."""
+    seq = found.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("stop", "lat", "lon", "first_us", "last_us", "n"))).alias("seq"))
+
+    def step(acc, x):
+        last = F.element_at(acc, -1)
+        km = haversine_km(last["lat"], last["lon"], x["lat"], x["lon"])
+        near = (km * 1000 <= rules.visit_metres) & (x["first_us"] - last["last_us"] <= int(rules.visit_gap_hours * 3_600_000_000))
+        mean = lambda c: ((last[c] * last["n"] + x[c] * x["n"]) / (last["n"] + x["n"])).alias(c)
+        one = F.struct(mean("lat"), mean("lon"), last["first_us"].alias("first_us"), F.greatest(last["last_us"], x["last_us"]).alias("last_us"), (last["n"] + x["n"]).alias("n"))
+        fresh = F.struct(*(x[c].alias(c) for c in ("lat", "lon", "first_us", "last_us", "n")))
+        return F.when((F.size(acc) > 0) & near, F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(one))).otherwise(F.concat(acc, F.array(fresh)))
+
+    empty = F.array().cast("array<struct<lat:double,lon:double,first_us:bigint,last_us:bigint,n:bigint>>")
+    return seq.select("device", F.posexplode(F.aggregate("seq", empty, step)).alias("visit", "v")).select("device", F.col("visit").cast("bigint").alias("visit"), "v.*")
+
+
+DAY_US = 86_400_000_000
+
+
+def chapter_stop(told: DataFrame, found: DataFrame, slack_us: int = 1_000_000) -> DataFrame:
+    """(device, chapter, stop, inside): the stop of a chapter's time that most of its items fall in, ties to the first; null if it has none.
+
+    Times meet by device and day, an equi-join, before the exact condition.
+    """
+    day = lambda c: F.floor(F.col(c) / DAY_US)
+    span = found.select(F.col("device").alias("d"), "stop", F.col("first_us").alias("a"), F.col("last_us").alias("b"))
+    days = span.withColumn("day", F.explode(F.sequence(F.floor(F.col("a") / DAY_US), F.floor(F.col("b") / DAY_US))))
+    items = told.select("device", "chapter", "us", day("us").alias("day"))
+    hits = items.join(days.withColumnsRenamed({"day": "dd"}), (F.col("device") == F.col("d")) & (F.col("day") == F.col("dd")) & F.col("us").between(F.col("a"), F.col("b")))
+    hits = hits.groupBy("device", "chapter", "stop").agg(F.count("*").alias("inside"))
+    ends = told.groupBy("device", "chapter").agg(F.min("us").alias("f"), F.max("us").alias("l"))
+    edge = F.floor((F.col("f") - slack_us) / DAY_US), F.floor((F.col("l") + slack_us) / DAY_US)
+    close = ends.withColumn("day", F.explode(F.sequence(*edge))).join(days.withColumnsRenamed({"day": "dd"}), (F.col("device") == F.col("d")) & (F.col("day") == F.col("dd")) & (F.col("a") <= F.col("l") + slack_us) & (F.col("b") >= F.col("f") - slack_us))
+    pairs = close.select("device", "chapter", "stop").distinct().join(hits, ["device", "chapter", "stop"], "left").fillna(0, ["inside"])
+    best = pairs.groupBy("device", "chapter").agg(F.max(F.struct("inside", (-F.col("stop")).alias("s"))).alias("m"))
+    return ends.select("device", "chapter").join(best, ["device", "chapter"], "left").select("device", "chapter", (-F.col("m.s")).alias("stop"), F.col("m.inside").alias("inside"))
+
+
 def item_in_range(items: DataFrame, ranges: DataFrame, slack_us: int = 1_000_000) -> DataFrame:
     """Each item's first range of its device, with slack at both ends: an equi-join by device with a time condition, then the least."""
     inside = F.col("us").between(F.col("first_us") - slack_us, F.col("last_us") + slack_us)
