@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +12,30 @@ FPS, LEAST_GAP, LONGEST, SHORTEST_S = 3, 2, 18, 0.8
 TAPS = 15
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once a row however often it is used, in lambdas too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def middle(values: Column) -> Column:
+    """Median of an array."""
+    at = lambda s, k: F.get(s, F.floor(k / 2).cast("int"))
+    return once(F.array_sort(values), lambda s: (at(s, F.size(s) - 1) + at(s, F.size(s))) / 2)
+
+
 def cuts(motion: Column) -> Column:
     """Indices where a shot begins: 0, and samples at or above median + 6 scaled deviations (24.99 at least) two or more after the last; empty below three samples.
 
     ``motion`` is an array without nulls.
     """
-    def median(x: Column) -> Column:
-        s, n = F.array_sort(x), F.size(x)
-        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
-
     def high(m: Column) -> Column:
-        med = median(m)
-        spread = median(F.transform(m, lambda v: F.abs(v - med)))
-        return F.greatest(F.lit(0.28 * 255.0 * 0.35), med + 6.0 * (1.4826 * spread))
+        return once(middle(m), lambda med: F.greatest(F.lit(0.28 * 255.0 * 0.35), med + 6.0 * (1.4826 * middle(F.transform(m, lambda v: F.abs(v - med))))))
+
+    def kept(m: Column) -> Column:
+        loud = once(high(m), lambda t: F.filter(F.transform(m, lambda v, i: F.when((v >= t) & (i > 0), i)), lambda i: i.isNotNull()))
+        return F.aggregate(loud, F.array(F.lit(0)), lambda acc, i: F.when(i - F.element_at(acc, -1) >= LEAST_GAP, F.concat(acc, F.array(i))).otherwise(acc))
 
-    loud = F.transform(F.array(high(motion)), lambda t: F.filter(F.transform(motion, lambda v, i: F.when((v >= t) & (i > 0), i)), lambda i: i.isNotNull()))
-    kept = F.aggregate(F.get(loud, 0), F.array(F.lit(0)), lambda acc, i: F.when(i - F.element_at(acc, -1) >= LEAST_GAP, F.concat(acc, F.array(i))).otherwise(acc))
-    return F.when(F.size(motion) < 3, F.array().cast("array<int>")).otherwise(kept)
+    return F.when(F.size(motion) < 3, F.array().cast("array<int>")).otherwise(once(motion, kept))
 
 
 def shots(clips: DataFrame, key: str) -> DataFrame:
