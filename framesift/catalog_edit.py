@@ -11,6 +11,7 @@ from .config import Plan
 from .functions import columns as C
 from .operators import arrange, checks, choose, fill, series, trip
 from .plans.cut_list import CUT_LIST_SQL, cut_list
+from .sources import sinks
 from .sources.tables import items, table
 
 STOPS_SQL = ORACLE_SQL["stops"].rsplit("\n  SELECT device, stop, round(", 1)[0] + """,
@@ -189,3 +190,14 @@ def shot_cuts(spark: SparkSession, d: str) -> DataFrame:
     """Shots of clips whose motion is the quantities of a supplier, one sample each."""
     o = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("clip")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))), lambda x: F.when(x["l_quantity"] >= 49, 90.0).otherwise(x["l_quantity"] / 5)).alias("motion"))
     return series.shots(o.withColumn("seconds", F.size("motion") / 3.0), "clip").select("clip", "first", "last", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"))
+
+
+@query(f"""WITH cl AS ({CUTS_SQL}), t AS (SELECT device, chapter, count(*) AS n, sum(frames) AS f FROM (SELECT *, frame - coalesce(lag(frame) OVER (PARTITION BY device ORDER BY pos), 0) AS frames FROM cl) GROUP BY device, chapter)
+  SELECT device, chapter, printf('| %d | %d | %.1f | %s |', chapter, n, f / cast(30 as double), rpad(repeat('#', cast(round_even(f / cast(max(f) OVER (PARTITION BY device) as double) * 18, 0) AS INTEGER)), 18, '.')) AS line FROM t""")
+def chapter_report(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.chapter_report(cut_list(spark, d), ["device"])
+
+
+@query(None)
+def cut_list_json(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.cut_list_json(cut_list(spark, d), ["device"])

@@ -1,5 +1,6 @@
 """Editing operators against sequential models."""
 
+import json
 import math
 import random
 from statistics import median
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from framesift.config import Plan
 from framesift.functions import columns as C
 from framesift.operators import arrange, checks, choose, fill, series, trip
+from framesift.sources import sinks
 
 ITEM = "device long, item_id long, us long, chapter long, kind string, seconds double, score double"
 
@@ -142,3 +144,14 @@ def test_empty_inputs(spark):
     assert fill.greedy_fill(none, ["device"]).count() == fill.fill_ladder(none).count() == choose.chapter_weights(none).count() == 0
     assert checks.fairness(spark.createDataFrame([], "device long, seconds double, shots long"), ["device"]).count() == 0
     assert series.shots(spark.createDataFrame([], "clip long, motion array<double>, seconds double"), "clip").count() == 0
+
+
+def test_sinks_write_lists_and_report(spark, tmp_path):
+    slots = spark.createDataFrame([(1, 1, 7, 0, 4, 60), (1, 2, 9, 0, 2, 90), (1, 3, 5, 1, 4, 150), (2, 1, 8, 0, 4, 60)], "device long, pos long, item_id long, chapter long, beats long, frame long")
+    sinks.write_lines(sinks.cut_list_json(slots, ["device"]), str(tmp_path / "out"), ["device"])
+    back = {r.device: json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()}
+    assert back[1]["duration"] == 5.0 and back[2]["entries"][0]["source"] == 8
+    assert [(e["index"], e["start"], e["duration"], e["source"]) for e in back[1]["entries"]] == [(1, 0.0, 2.0, 7), (2, 2.0, 1.0, 9), (3, 3.0, 2.0, 5)]
+    lines = [r.line for r in sinks.chapter_report(slots, ["device"]).where("device = 1").orderBy("chapter").collect()]
+    assert lines == ["| 0 | 2 | 3.0 | ################## |", "| 1 | 1 | 2.0 | ############...... |"]
+    assert sinks.cut_list_json(slots.where("device = 5"), ["device"]).count() == 0
