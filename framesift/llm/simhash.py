@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import cut_lineage, map_texts, space_words
 
@@ -223,115 +224,203 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(member, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints of the near-duplicate classes: words of 64 bits, bands of bits that bucket them.
-WIDE_WORDS, BANDS, BAND_BITS = 8, 32, 16
+#: Keys a set has for its first links (each of the two least hashes of one of so many bins), and bits of its parity map.
+BINS, PARITY_BITS = 16, 256
+#: Sets spread into entries at once; entries of a batch, which are narrow rows.
+SETS_AT_ONCE, ENTRY_ROWS = 64, 20_000
+#: Nodes of a block whose sets are compared in one row with those of another, and such rows at once.
+BLOCK, BLOCK_ROWS = 32, 16
 
 
-def largest_distance(similarity: float, bits: int = 64 * WIDE_WORDS) -> int:
-    """Expected differing bits of two shingle sets of this Jaccard similarity: the angle of their vectors over pi."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, rising."""
+    return np.unique(shingle_hashes(space_words(text), size))
 
 
-def wide_fingerprint(hashes: np.ndarray) -> bytes:
-    """Eight SimHash words from eight mixings of the shingle hashes; zeros without shingles."""
-    out = b""
-    for k in range(WIDE_WORDS):
-        h = (hashes ^ np.uint64(xxhash.xxh64_intdigest(f"mix{k}"))) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        out += (majority(bit_counts(h), len(h)) if len(h) else 0).to_bytes(8, "little")
-    return out
+def set_id(hashes: np.ndarray) -> int:
+    """A 64-bit name of a set of hashes; equal sets share it."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)
 
 
-def band_keys(fp: np.ndarray, shingles: np.ndarray) -> np.ndarray:
-    """(bands, n) keys: chosen bits of the wide fingerprints (n, words), and the octave of the number of shingles, cut elsewhere in each band."""
-    bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    keys = np.zeros((BANDS, len(fp)), np.uint64)
-    for b in range(BANDS):
-        at = [xxhash.xxh64_intdigest(f"band{b}.{j}") % bits.shape[1] for j in range(BAND_BITS)]
-        chosen = bits[:, at] @ (1 << np.arange(BAND_BITS, dtype=np.uint64))
-        octave = np.floor(np.log2(np.maximum(shingles, 1)) + b / BANDS).astype(np.uint64)
-        keys[b] = np.uint64(b) << np.uint64(32) | chosen.astype(np.uint64) << np.uint64(8) | octave
-    return keys
+def prefix_length(n: int, similarity: float) -> int:
+    """Least hashes of a set of n that hold one in common with any set this similar: only so many can be missing there."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
 
 
-def wide_links(fp: np.ndarray, run: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (row, root) that connect the rows within ``limit`` bits of each other inside each run; distances to pivots discard pairs first.
+def parity_map(hashes: np.ndarray) -> bytes:
+    """Bits that an odd number of hashes fall on: two maps differ in no more bits than the sets in members."""
+    odd = np.bincount((hashes >> np.uint64(8)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
-    The root is the first row reached: with runs in order of their nodes, the
-    bands of a large group agree on its roots and give the same links.
+
+def bin_keys(hashes: np.ndarray) -> np.ndarray:
+    """Keys of the bins that have two hashes (of all hashes for small sets): a mixing of the two least."""
+    bins = (hashes & np.uint64(BINS - 1)).astype(np.int64)
+    order = np.argsort(bins, kind="stable")  # hashes rise inside each bin
+    at = np.flatnonzero(np.append(True, bins[order][1:] != bins[order][:-1])) if len(order) else order
+    at = at[(at + 1 < len(order))]
+    at = at[bins[order[at]] == bins[order[at + 1]]]
+    if not len(at):
+        return hashes[:1]
+    return (hashes[order[at]] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[order[at + 1]]
+
+
+def cross_pairs(key: np.ndarray, node: np.ndarray, part: np.ndarray, n: np.ndarray, left: np.ndarray, maps: np.ndarray, similarity: float):
+    """Row pairs (i, j) of each lag, of one key and different parts, that may be this similar. Rows come by key.
+
+    ``left`` counts a set's hashes from the key's on. Of the first hash that
+    two similar sets share, this many and no more can be shared (left); what
+    they do not share bounds the bits in which their maps differ.
     """
-    pivots = np.array([[xxhash.xxh64_intdigest(f"pivot{k}.{w}") for w in range(fp.shape[1])] for k in range(4)], np.uint64)
-    table = np.stack([np.bitwise_count(fp ^ p).sum(1, dtype=np.int32) for p in pivots])
-    n, left, right = len(fp), [], []
-    live, lag = np.arange(n), 1
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+    live = np.flatnonzero(np.repeat(mixed, np.diff(np.append(starts, len(key)))))
+    lag = 1
     while True:
-        live = live[live + lag < n]
-        live = live[run[live] == run[live + lag]]
+        live = live[live + lag < len(key)]
+        live = live[key[live] == key[live + lag]]
         if not len(live):
-            break
-        near = live
-        for row in table:
-            near = near[np.abs(row[near] - row[near + lag]) <= limit]
-        near = near[np.bitwise_count(fp[near] ^ fp[near + lag]).sum(1, dtype=np.int32) <= limit]
-        left.append(near)
-        right.append(near + lag)
+            return
+        other = live + lag
+        total = n[live] + n[other]
+        near = (part[live] != part[other]) & (np.minimum(left[live], left[other]) * (1 + similarity) >= similarity * total - 1e-6)
+        a, b, total = live[near], other[near], total[near]
+        differ = np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)
+        near = differ * (1 + similarity) <= (1 - similarity) * total + 1e-6
+        if near.any():
+            yield a[near], b[near]
         lag += 1
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    root = forest(a, b, n)
-    at = np.flatnonzero(root != np.arange(n))
-    return at, root[at]
 
 
-def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, class_id): the smallest id of each row's near-duplicate class, by shingles of ``shingle`` words.
+def whole_runs(batches):
+    """Tables of whole runs of equal first columns, from sorted batches."""
+    rest = None
+    for batch in _with_end(batches):
+        if batch is None:
+            part, rest = rest, None
+        else:
+            part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            keys = part.column(0).to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last run may go on
+            part, rest = part.slice(0, cut), part.slice(cut)
+        if part is not None and part.num_rows:
+            yield part
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, hashes) have this Jaccard similarity at least, counted.
 
-    Texts link when their 512-bit fingerprints differ in no more bits than
-    expected at the similarity. Candidates agree in one of 32 bands of 16
-    bits: nearly all pairs of 0.85 and more, nine in ten at 0.8. Exact copies
-    and wordless texts share a fingerprint and cost one entry. Rows without
-    an id have no class and are left out; repeated rows are kept.
+    What pairs connect is cut into blocks of nodes, and a set goes once to
+    each pair of blocks that has a pair of it, not once to each pair.
+    """
+
+    def count(batches):
+        for batch in batches:
+            a, b = [], []
+            for links, nodes, hashes in zip(*(batch.column(k) for k in range(3))):
+                ends = np.array([(x["a"], x["b"]) for x in links.as_py()], np.int64)
+                of = {n: h.values.to_numpy() for n, h in zip(nodes.as_py(), hashes)}
+                for x, y in ends.tolist():
+                    both = len(np.intersect1d(of[x], of[y], assume_unique=True))
+                    if both >= similarity * (len(of[x]) + len(of[y]) - both) - 1e-9:
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    inside = Window.partitionBy("label").orderBy("node")
+    placed = cut_lineage(component_labels(pairs).withColumn("block", F.floor((F.row_number().over(inside) - 1) / BLOCK)))
+    dealt = pairs.join(placed.toDF("a", "label", "x"), "a").join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
+    group = ["label", "x", "y"]
+    links = dealt.groupBy(group).agg(F.collect_list(F.struct("a", "b")).alias("links"))
+    sent = dealt.select(*group, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
+    sent = sent.groupBy(group).agg(F.collect_list(F.struct("node", "hashes")).alias("s"))
+    return links.join(sent, group).select("links", "s.node", "s.hashes").mapInArrow(count, "a long, b long")
+
+
+def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, class_id): the smallest id of each row's near-duplicate class, by sets of shingles of ``shingle`` words.
+
+    Texts link when the Jaccard similarity of their sets is ``similarity`` or
+    more; classes are what links connect, and no such pair is missed: similar
+    sets share one of their least hashes (prefix filter), and every candidate
+    is verified by its whole sets. First links, to the first of sets that
+    share two hashes, are verified before, so pairs inside a part they
+    connect are no candidates and a large group costs no pairs. Texts of
+    equal sets, wordless ones too, cost one entry. Rows without an id have no
+    class and are left out; repeated rows are kept.
     """
-    limit = largest_distance(similarity)
 
     def make():
         def run(texts):
-            hashes = [shingle_hashes(space_words(t), shingle) for t in texts]
-            return {"fp": [wide_fingerprint(h) for h in hashes], "shingles": [len(h) for h in hashes]}
+            out = {k: [] for k in ("node", "n", "least", "parity", "bins")}
+            for h in (shingle_set(t, shingle) for t in texts):
+                out["node"].append(np.uint64(set_id(h)).astype(np.int64))
+                out["n"].append(len(h))
+                out["least"].append(h[: prefix_length(len(h), similarity)].view(np.int64))
+                out["parity"].append(parity_map(h))
+                out["bins"].append(bin_keys(h).view(np.int64))
+            return out
 
         return run
 
     def spread(batches):
-        for batch in batches:
-            fp = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-            keys = band_keys(fp, batch.column(2).to_numpy())
-            for b in range(BANDS):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[b].view(np.int64)), batch.column(0), batch.column(1)], names=["key", "node", "fp"])
+        seen: set[int] = set()  # copies cost one entry a task
+        for batch in (b.slice(k, SETS_AT_ONCE) for b in batches for k in range(0, b.num_rows, SETS_AT_ONCE)):
+            batch = batch.filter(pa.array([x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()], pa.bool_()))
+            node, part, n, least, parity = (batch.column(k) for k in range(5))
+            sizes = least.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            left = n.to_numpy(zero_copy_only=False)[row] - place
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([least.flatten(), node.take(row), part.take(row), n.take(row), pa.array(left.astype(np.int32)), parity.take(row)], names=["key", "node", "part", "n", "left", "parity"])
 
     def search(batches):
-        rest = None
-        for batch in _with_end(batches):
-            if batch is None:
-                part, rest = rest, None
-            else:
-                part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-                keys = part.column(0).to_numpy()
-                cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-                part, rest = part.slice(0, cut), part.slice(cut)
-            if part is not None and part.num_rows:
-                nodes = part.column(1).to_numpy()
-                fp = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint64).reshape(-1, WIDE_WORDS)
-                a, b = wide_links(fp, part.column(0).to_numpy(), limit)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
-
-    fields = [T.StructField("fp", T.BinaryType()), T.StructField("shingles", T.LongType())]
-    rows = cut_lineage(map_texts(df.where(F.col(f"`{id_col}`").isNotNull()), text_col, make, fields, [id_col]).select(F.col(f"`{id_col}`").cast("long").alias("id"), "fp", "shingles"))
-    firsts = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("node"), F.max("shingles").alias("shingles")))
-    keyed = firsts.select("node", "fp", "shingles").mapInArrow(spread, "key long, node long, fp binary")
-    edges = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(search, "a long, b long").where("a <> b").distinct()
-    labels = component_labels(edges)
-    member = firsts.join(labels, "node", "left").select("fp", F.coalesce("label", "node").alias("class_id"))
-    return rows.join(member, "fp").select(F.col("id").alias(id_col), "class_id")
+        for table in whole_runs(batches):
+            key, node, part, n, left = (table.column(k).to_numpy() for k in range(5))
+            maps = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
+            for i, j in cross_pairs(key, node, part, n.astype(np.int64), left.astype(np.int64), maps, similarity):
+                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    longs = T.ArrayType(T.LongType())
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("least", longs), T.StructField("parity", T.BinaryType()), T.StructField("bins", longs)]
+    docs = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = cut_lineage(map_texts(docs, "text", make, fields, ["id"]))
+    members = rows.select("id", "node")
+    firsts = cut_lineage(members.groupBy("node").agg(F.min("id").alias("first")))
+
+    def hashes_of():
+        def run(texts):
+            sets = [shingle_set(t, shingle) for t in texts]
+            return {"node": [np.uint64(set_id(h)).astype(np.int64) for h in sets], "hashes": [h.view(np.int64) for h in sets]}
+
+        return run
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        batch_rows = df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ENTRY_ROWS))
+        pairs = cut_lineage(pairs.distinct())
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ids = firsts.join(nodes, "node").select(F.col("first").alias("id")).distinct()
+        made = map_texts(docs.join(ids, "id"), "text", hashes_of, [T.StructField("node", T.LongType()), T.StructField("hashes", longs)], [])
+        sets = cut_lineage(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
+        alike = cut_lineage(similar(pairs, sets, similarity))
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
+        return alike
+
+    binned = rows.select("node", F.explode("bins").alias("key")).distinct()
+    heads = binned.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
+    near = verified(binned.join(heads, "key").where("a <> node").select("a", F.col("node").alias("b")))
+    parts = component_labels(near).toDF("node", "part")
+    entries = rows.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part"), "n", "least", "parity").mapInArrow(spread, "key long, node long, part long, n int, left int, parity binary")
+    more = verified(entries.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long"))
+    labels = component_labels(near.union(more))
+    named = firsts.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
+    classes = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    return members.join(named.join(classes, "root").select("node", "class_id"), "node").select(F.col("id").alias(id_col), "class_id")
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -154,6 +154,35 @@ def test_near_duplicates(spark, docs, none):
     assert keep_one_of_each(none).count() == 0
 
 
+def test_near_duplicates_equal_brute_force(spark):
+    rnd = random.Random(12)
+    texts = []
+    for k in range(40):  # worn copies round similarity 0.8, of few words and of many
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([9, 30, 120, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            worn = list(words)
+            for _ in range(max(1, round(len(words) * rnd.choice([0.01, 0.02, 0.025, 0.03])))):
+                worn[rnd.randrange(len(worn))] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(worn[: len(worn) - rnd.randrange(3)]))
+    texts += ["again " * 300, "again " * 200, "", " "]
+    sets = []
+    for text in texts:
+        w = text.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in alike:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in near_duplicate_classes(df).collect()} == dict(enumerate(label))
+
+
 def test_lines(spark, none):
     rows = [(i, f"Menu home\nstory {i} only\n  Menu home ", "a") for i in range(8)] + [(20, None, "a"), (21, "", "b"), (22, "Menu home", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
