@@ -23,29 +23,35 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
     """(host, key, pages, host_pages) of each host's boilerplate lines.
 
+    Without ``copies`` the pages of a host with the same text count once, so
+    that no group of copies makes its own lines boilerplate.
+
     Pages of a line add up inside each task before the shuffle, so a line of
     very many pages, or a host with a third of all pages, moves one row a
     task. A null host is a host of its own.
     """
     pages = df.select(F.col(f"`{host_col}`").alias("host"), F.col(f"`{text_col}`").alias("text"))
+    pages = pages.select("host", F.xxhash64("text").alias("page"), line_keys(F.col("text")).alias("keys"))
+    if not copies:
+        pages = pages.groupBy("host", "page").agg(F.first("keys").alias("keys"))
     totals = pages.groupBy("host").agg(F.count("*").alias("host_pages"))
-    keys = pages.where("text IS NOT NULL").select("host", F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("key"))
+    keys = pages.select("host", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key"))
     counts = keys.groupBy("host", "key").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
     return counts.join(totals.toDF("host_", "host_pages"), F.col("host").eqNullSafe(F.col("host_"))).drop("host_").where(F.col("pages") > ratio * F.col("host_pages"))
 
 
-def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
     """All columns and rows, the text without its host's boilerplate lines, with n_lines and n_dropped.
 
     Null texts stay null with no lines; an empty text has one line, which
     stays. A document of boilerplate alone keeps an empty text. Repeated rows
-    count as pages each. Columns named n_lines or n_dropped are replaced. An
+    and texts count as pages each, or once without ``copies``. Columns named n_lines or n_dropped are replaced. An
     empty table gives an empty one.
     """
-    found = cut_lineage(boilerplate(df, host_col, text_col, ratio, least_pages).select("host", "key"))
+    found = cut_lineage(boilerplate(df, host_col, text_col, ratio, least_pages, copies).select("host", "key"))
     by_host = found.groupBy("host").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("host", "__host")
     if found.count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)

@@ -191,6 +191,15 @@ def test_lines(spark, none):
     assert drop_boilerplate(none).count() == 0
 
 
+def test_lines_of_a_copy_group_stay(spark):
+    from corpus_pipeline import drop_lines
+
+    rows = [(i, f"Menu home\nstory {i} only", "a") for i in range(40)] + [(100 + i, "Menu home\ncopied story\nits end", "a") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r.text for r in drop_lines(spark, df, "").collect()}
+    assert got == {i: f"story {i} only" for i in range(40)} | {100 + i: "copied story\nits end" for i in range(20)}
+
+
 def test_secrets(spark, docs, none):
     text = 'Password: "hunter2x" and AKIA' + "ABCD1234" * 2 + " ü hex " + "0a" * 12 + " token=abc bearer Zq8#kv!29xLm password=short1 pwd is qwerty123"
     r = secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
