@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import count
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +13,10 @@ from ..config import Analysis, Plan
 from ..functions.columns import hamming
 
 
+#: Rounds of greedy_dedupe before few open items, of so many arcs, are settled in one task (tens of MB).
+ROUNDS, TAIL = 12, 200_000
+
+
 def burst_cap(items: DataFrame, cap: int = 2, bucket_s: int = 60, by: tuple[str, ...] = ("device",), rank: str | None = None) -> DataFrame:
     """At most ``cap`` items of a time bucket, best score first, ties to the least id; items without a time pass. ``rank`` names a column to keep the place in."""
     w = Window.partitionBy(*by, F.floor(F.col("us") / (bucket_s * 1_000_000))).orderBy(F.col("score").desc(), "item_id")
@@ -27,12 +34,36 @@ def near_pairs(hashes: DataFrame, most: int) -> DataFrame:
     return a.join(b, "k").where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
 
 
-def greedy_dedupe(items: DataFrame, most: int = Analysis().hamming, max_rounds: int = 100) -> DataFrame:
+def settle(frames):
+    """(id, kept) of open items from their arcs (id, before, k): k says whether the item before stays, if that is settled."""
+    after, left, kept = {}, {}, {}
+    for frame in frames:
+        for i, before, k in zip(frame["id"].tolist(), frame["before"].tolist(), frame["k"].tolist()):
+            after.setdefault(before, []).append(i)
+            left[i] = left.get(i, 0) + 1
+            if k is not None:
+                kept[before] = bool(k)
+    hit, ready = set(), list(kept)
+    while ready:
+        before = ready.pop()
+        for i in after.get(before, ()):
+            left[i] -= 1
+            if kept[before]:
+                hit.add(i)
+            if not left[i]:
+                kept[i] = i not in hit
+                ready.append(i)
+    yield pd.DataFrame({"id": list(left), "kept": [kept[i] for i in left]})
+
+
+def greedy_dedupe(items: DataFrame, most: int = Analysis().hamming) -> DataFrame:
     """Items (id, hash, score) kept when, by falling score, none kept earlier is within ``most`` bits.
 
     Rounds settle the items whose earlier neighbours are all settled: one with
     a kept neighbour goes, one whose neighbours are all gone stays; equal to
-    the sequential pass. Each round's state is checkpointed.
+    the sequential pass. A chain of near items would take a round an item, so
+    after ROUNDS rounds open items of at most TAIL arcs are settled in one
+    task; of more, the rounds go on until all are settled. Each round's state is checkpointed.
     """
     from ..sources.shared import cut_lineage
 
@@ -43,12 +74,19 @@ def greedy_dedupe(items: DataFrame, most: int = Analysis().hamming, max_rounds:
     a_first = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
     arcs = cut_lineage(both.select(F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("before"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("id")))
     state = cut_lineage(order.select("id", F.lit(None).cast("boolean").alias("kept")))
-    for _ in range(max_rounds):
+    for turn in count(1):
         seen = arcs.join(state.toDF("before", "k"), "before").groupBy("id").agg(F.max(F.coalesce(F.col("k"), F.lit(False)).cast("int")).alias("hit"), F.max(F.col("k").isNull().cast("int")).alias("open"))
         new = state.join(seen, "id", "left").select("id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit") == 1, False).when(F.coalesce("open", F.lit(0)) == 0, True).alias("kept"))
         state = cut_lineage(new)
-        if not state.where("kept IS NULL").limit(1).count():
+        rest = state.where("kept IS NULL").select("id")
+        if not rest.limit(1).count():
             break
+        if turn >= ROUNDS:
+            tail = arcs.join(rest, "id").join(state.toDF("before", "k"), "before").select("id", "before", "k")
+            if tail.count() <= TAIL:
+                settled = tail.coalesce(1).mapInPandas(settle, rest.withColumn("kept", F.lit(True)).schema)
+                state = cut_lineage(state.where("kept IS NOT NULL").union(settled))
+                break
     return items.join(state.where("kept").select("id"), "id", "left_semi")
 
 

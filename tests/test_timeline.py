@@ -44,6 +44,18 @@ def test_greedy_dedupe_equals_sequential_pass(spark):
     assert {r.id for r in got.collect()} == {i for i, _ in kept}
 
 
+def test_greedy_dedupe_settles_a_long_path(spark):
+    # three bits a step: only neighbours on the path are near, and falling scores settle an item a round
+    h, rows = (1 << 50) - 1, []
+    rnd = random.Random(9)
+    for i in range(150):
+        while rows and (any((h ^ x).bit_count() <= 3 for _, x, _ in rows[:-1]) or (h ^ rows[-1][1]).bit_count() != 3):
+            h = rows[-1][1] ^ sum(1 << b for b in rnd.sample(range(62), 3))
+        rows.append((i, h, 150.0 - i))
+    got = choose.greedy_dedupe(spark.createDataFrame(rows, "id long, hash long, score double"), 3)
+    assert {r.id for r in got.collect()} == set(range(0, 150, 2))
+
+
 def test_offset_borrow_equals_scan(spark):
     rnd = random.Random(5)
     rows = [(i, 1, rnd.randrange(40) * 1_800_000_000, rnd.choice([None, 3600, -7200])) for i in range(60)]
