@@ -1,15 +1,25 @@
-"""The shared folder that iterative operators write their state to."""
+"""The shared folder that operators write their state to."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session; where that is unset, a temporary folder of a local session, and an error on a cluster, whose machines share no such folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="framesift-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame, checkpointed in spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """The frame, checkpointed in the session's shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framesift-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
