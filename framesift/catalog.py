@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.solar import daylight, light_score
+from .functions.media import light_of
 from .functions.solar import sun_times as sun
 from .operators import catalogue, choose, trip
 from .plans.cut_list import CUT_LIST_SQL, cut_list
@@ -243,11 +243,11 @@ def sun_times(spark: SparkSession, d: str) -> DataFrame:
   SELECT item_id, round(CASE WHEN ts < rise - 2700 OR ts > sets + 2700 THEN 0.15 WHEN ts - rise <= 4500 THEN greatest(0.6, 1 - abs(ts - rise - 1500) / 9000) WHEN sets - ts <= 4500 THEN greatest(0.6, 1 - abs(sets - ts - 1500) / 9000)
     ELSE greatest(0.45, least(1, 0.5 + 0.2 * (abs(ts - (rise + sets) / 2) / greatest(1, (sets - rise) / 2)))) END, 4) AS light FROM o WHERE n = 1""")
 def light_scores(spark: SparkSession, d: str) -> DataFrame:
-    i = items(spark, d).where("lat IS NOT NULL").withColumn("ts", F.col("us") / F.lit(1e6)).withColumn("w", daylight(F.col("ts"), F.col("lat"), F.col("lon")))
-    return i.select("item_id", F.round(light_score(F.col("ts"), F.col("w.rise"), F.col("w.set")), 4).alias("light"))
+    i = items(spark, d).where("lat IS NOT NULL")
+    return i.select("item_id", F.round(light_of(F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon")), 4).alias("light"))
 
 
 ORACLE_SQL["cut_list"] = CUT_LIST_SQL.replace("{CHAPTERS}", CHAPTERS_SQL)
 QUERIES["cut_list"] = cut_list
 
-from . import catalog_edit  # noqa: E402, F401  registers its queries
+from . import catalog_edit, catalog_media  # noqa: E402, F401  register their queries

@@ -33,12 +33,12 @@ def frame_rate(text: Column) -> Column:
 
 
 def utc_offset_seconds(text: Column) -> Column:
-    """Seconds east of UTC from Z, UTC, GMT, +HH:MM, +HHMM or hours; 0 for anything else."""
+    """Seconds east of UTC from Z, UTC, GMT, +HH:MM, +HHMM or hours, whose fractions are dropped; 0 for anything else."""
     t = F.upper(F.trim(text))
     sign = F.when(t.startswith("-"), -1).otherwise(1)
     hm = F.regexp_extract(t, r"^[+-]?(\d{1,2}):?(\d{2})$", 1), F.regexp_extract(t, r"^[+-]?(\d{1,2}):?(\d{2})$", 2)
     pair = sign * (hm[0].try_cast("int") * 3600 + hm[1].try_cast("int") * 60)
-    return F.coalesce(F.when(t.isin("", "Z", "UTC", "GMT"), 0).otherwise(F.coalesce(pair, F.bround(t.try_cast("double") * 3600).cast("int"))), F.lit(0))
+    return F.coalesce(F.when(t.isin("", "Z", "UTC", "GMT"), 0).otherwise(F.coalesce(pair, (t.try_cast("double").cast("int") * 3600))), F.lit(0))
 
 
 def duration_text(seconds: Column) -> Column:
@@ -60,10 +60,10 @@ def norm_faces(faces: Column, eyes: Column) -> Column:
     return F.when(faces <= 0, 0.0).otherwise(clamp(0.60 + 0.12 * F.least(faces, F.lit(3)) + 0.28 * eyes, 0.0, 1.0))
 
 
-def composite(kind: Column, sharp: Column, exposure: Column, faces: Column, colour: Column, contrast: Column, motion: Column) -> Column:
-    """Weighted mean of the normalised measures; motion counts for videos only."""
+def composite(kind: Column, sharp: Column, exposure: Column, faces: Column, colour: Column, contrast: Column, motion: Column, photo_bias: float = 1.0) -> Column:
+    """Weighted mean of the normalised measures; motion counts for videos only, the bias for photos."""
     base = 0.30 * sharp + 0.20 * exposure + 0.20 * faces + 0.12 * colour + 0.10 * contrast
-    return F.when(kind == "video", (base + 0.08 * motion) / 1.00).otherwise(base / 0.92)
+    return F.when(kind == "video", (base + 0.08 * motion) / 1.00).otherwise(base / 0.92 * photo_bias)
 
 
 def hamming(a: Column, b: Column) -> Column:

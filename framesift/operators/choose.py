@@ -144,6 +144,28 @@ def snap_frames(slots: DataFrame, bpm: float, fps: int, by: list[str], order: li
     return x.withColumn("frames", F.col("frame") - F.coalesce(F.lag("frame").over(w), F.lit(0)))
 
 
+def last_residue(slots: DataFrame, target: Column, bpm: float, fps: int, by: list[str]) -> DataFrame:
+    """Snapped slots (frame, frames) whose last takes up what is missing to the target in seconds, or is over, if that is half a beat and a frame at most."""
+    last = F.max("frame").over(Window.partitionBy(*by))
+    slack = F.bround(target * fps).cast("bigint") - last
+    more = F.when((F.col("frame") == last) & (F.abs(slack) <= 0.5 * (60.0 / bpm) * fps + 1), slack).otherwise(0)
+    return slots.withColumn("__m", more).withColumn("frame", F.col("frame") + F.col("__m")).withColumn("frames", F.col("frames") + F.col("__m")).drop("__m")
+
+
+def merge_pairs(slots: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
+    """A row for each leader of ``two_up``: its partner (pair, else null), and their beats and seconds together."""
+    pair = F.max(F.when(F.col(order) != F.col("leader"), F.col(order))).alias("pair")
+    return slots.groupBy(*by, "leader").agg(pair, F.sum("beats").alias("beats"), F.sum("seconds").alias("seconds"))
+
+
+def need_quotas(items: DataFrame, by: list[str], plan: Plan = Plan()) -> DataFrame:
+    """(by, chapter, quota): a chapter's share of its group's material, by the time its items need, of 0.7 of the target; one photo's time at least."""
+    need = F.when(F.col("kind") == "video", F.lit(plan.video_slot)).otherwise(F.lit(plan.photo_slot))
+    size = items.groupBy(*by, "chapter").agg(F.sum(need).alias("__a"))
+    share = F.col("__a") / F.sum("__a").over(Window.partitionBy(*by))
+    return size.select(*by, "chapter", F.greatest(F.lit(plan.photo_slot), share * plan.quota_share * plan.target_seconds).alias("quota"))
+
+
 def two_up(slots: DataFrame, by: list[str], order: str = "pos") -> DataFrame:
     """pair of consecutive portrait photos, from the left: the slot's pair leader; others lead themselves."""
     w = Window.partitionBy(*by).orderBy(order)

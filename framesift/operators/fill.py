@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import Plan
-from .choose import burst_cap
+from .choose import burst_cap, need_quotas
 
 
 def greedy_fill(items: DataFrame, by: list[str], plan: Plan = Plan()) -> DataFrame:
@@ -27,9 +27,7 @@ def greedy_fill(items: DataFrame, by: list[str], plan: Plan = Plan()) -> DataFra
     photo, video, budget = plan.photo_slot, plan.video_slot, plan.target_seconds
     need = F.when(F.col("kind") == "video", F.lit(video)).otherwise(F.lit(photo))
     able = items.where((F.col("kind") != "video") | (F.col("seconds") >= video - 1e-6)).withColumn("need", need)
-    size = able.groupBy(*by, "chapter").agg(F.sum("need").alias("__a"))
-    share = F.col("__a") / F.sum("__a").over(Window.partitionBy(*by))
-    quota = size.select(*by, "chapter", F.greatest(F.lit(photo), share * plan.quota_share * budget).alias("quota"))
+    quota = need_quotas(able, by, plan)
     rank = F.row_number().over(Window.partitionBy(*by, "chapter", "kind").orderBy(F.col("score").desc(), "item_id"))
     most = F.when(F.col("kind") == "video", 4 + math.ceil(budget / video)).otherwise(4 + math.ceil(budget / photo))
     best = able.withColumn("__r", rank).where(F.col("__r") <= most).join(quota, [*by, "chapter"])

@@ -67,6 +67,13 @@ def above_local_mean(values: Column) -> Column:
     return F.transform(values, lambda v, i: F.greatest(F.lit(0.0), v.cast("double") - mean(i)))
 
 
+def scaled(values: Column) -> Column:
+    """The values over their population standard deviation; as they are without any."""
+    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
+    spread = once(mean, lambda m: F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(values)))
+    return once(spread, lambda s: F.transform(values, lambda v: F.when(s > 1e-9, v / s).otherwise(v)))
+
+
 def trailing_silence(values: Column) -> Column:
     """How many zeros end the array."""
     last = F.aggregate(F.transform(values, lambda v, i: F.when(v != 0, i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))

@@ -94,10 +94,12 @@ def chapter_stop(told: DataFrame, found: DataFrame, slack_us: int = 1_000_000) -
     return ends.select("device", "chapter").join(best, ["device", "chapter"], "left").select("device", "chapter", (-F.col("m.s")).alias("stop"), F.col("m.inside").alias("inside"))
 
 
-def item_in_range(items: DataFrame, ranges: DataFrame, slack_us: int = 1_000_000) -> DataFrame:
-    """Each item's first range of its device, with slack at both ends: an equi-join by device with a time condition, then the least."""
-    inside = F.col("us").between(F.col("first_us") - slack_us, F.col("last_us") + slack_us)
-    return items.join(ranges.withColumnRenamed("device", "d"), (F.col("device") == F.col("d")) & inside, "left").groupBy("item_id").agg(F.min("chapter").alias("chapter"))
+def item_in_range(items: DataFrame, ranges: DataFrame, slack_us: int = 1_000_000, missing: int | None = None) -> DataFrame:
+    """Each item's first range of its device, with slack at both ends, else ``missing``: an equi-join by device and day, then the exact condition and the least."""
+    a, b = F.col("first_us") - slack_us, F.col("last_us") + slack_us
+    days = ranges.select(F.col("device").alias("d"), "chapter", a.alias("a"), b.alias("b")).withColumn("day", F.explode(F.sequence(F.floor(F.col("a") / DAY_US), F.floor(F.col("b") / DAY_US))))
+    near = (F.col("device") == F.col("d")) & (F.floor(F.col("us") / DAY_US) == F.col("day")) & F.col("us").between(F.col("a"), F.col("b"))
+    return items.select("item_id", "device", "us").join(days, near, "left").groupBy("item_id").agg(F.coalesce(F.min("chapter"), F.lit(missing).cast("bigint")).alias("chapter"))
 
 
 def trip_stats(items: DataFrame) -> DataFrame:

@@ -5,17 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import file_kind
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A Parquet table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _listed(spark: SparkSession, root: str, deep: bool) -> DataFrame:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        raise FileNotFoundError(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(deep).lower()).load(root)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified) of all files below a folder but dot-files and those in dot-folders; contents are never read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(path, length, modified) of all files below a folder but dot-files and those in dot-folders below it; contents are never read. A missing folder and one without such files raise an error."""
     inside = F.expr("substring(path, instr(path, '://') + 3)")
-    return files.where(~inside.rlike(r"/\.")).select("path", "length", F.col("modificationTime").alias("modified"))
+    files = _listed(spark, root, True).where(~inside.rlike(r"/\."))
+    if not files.limit(1).count():
+        raise ValueError(f"no files in {root}")
+    return files
+
+
+def scan_audio(spark: SparkSession, root: str, least_bytes: int = 1024) -> DataFrame:
+    """(path, length, modified) of audio files in a folder, not below it, of more than ``least_bytes``."""
+    return _listed(spark, root, False).where((F.col("length") > least_bytes) & (file_kind(F.col("path")) == "audio"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
