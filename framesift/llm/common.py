@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,26 +10,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of a batch handed to Python: whole documents are long, so batches are short.
-BATCH_ROWS = 512
+from ..sources.shared import cut_lineage  # noqa: F401  the text operators take it from here
+
+#: Rows and bytes of what a worker turns into Python objects at once.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the data folder; short Arrow batches for what follows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """A table of the data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder and read from there.
+def cut_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most so many rows and, beyond one row, bytes; nothing is copied, no setting of the session needed."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > size:
+                n = (n + 1) // 2
+            yield batch.slice(at, n)
+            at += n
 
-    The folder is spark.checkpoint.dir of the session; only where that is
-    unset (a local session, as in tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framesift-"))
-    return df.checkpoint()
+
+#: Bitmaps of 4 KB, each for 32,768 ids, that are broadcast at most.
+BITMAPS = 4096
+
+
+def with_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows whose id (a long) is among ``ids`` (a column id): by bitmaps that go to the rows where they are small, so the rows are not shuffled; by a join where ids lie too far apart for that."""
+    maps = ids.groupBy(F.bitmap_bucket_number("id").alias("__k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("__map"))
+    maps = cut_lineage(maps)
+    if maps.count() > BITMAPS:
+        return df.join(ids.distinct().withColumnRenamed("id", "__id"), F.col(f"`{id_col}`") == F.col("__id"), "left_semi")
+    bit = F.expr(f"(cast(conv(hex(substring(__map, cast(bitmap_bit_position(`{id_col}`) div 8 + 1 as int), 1)), 16, 10) as int) >> cast(bitmap_bit_position(`{id_col}`) % 8 as int)) & 1")
+    return df.join(F.broadcast(maps), F.bitmap_bucket_number(F.col(f"`{id_col}`")) == F.col("__k")).where(bit == 1).drop("__k", "__map")
 
 
 def map_texts(
@@ -54,7 +68,7 @@ def map_texts(
 
     def run(batches):
         fn = make()
-        for batch in batches:
+        for batch in cut_batches(batches):
             cols = fn(batch.column(len(keep)).to_pylist())
             made = [pa.array(cols[f.name], type=t) for f, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *(f.name for f in out)])

@@ -17,11 +17,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import map_texts
+from .common import cut_batches, cut_lineage, map_texts
 
 #: Labelled training rows that are fetched for each label; a bound of the fit, not of the corpus.
 TRAIN_ROWS = 4000
@@ -54,7 +56,7 @@ def character_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
             table[ord(c)] = table[ord(c.upper()) if len(c.upper()) == 1 else ord(c)] = i
         table[[ord(c) for c in "\t\n\r\x0b\x0c\xa0"]] = 0
         total = np.zeros(SIZE**3, np.int64)
-        for batch in batches:
+        for batch in cut_batches(batches, size=1 << 20):
             text = " ".join(batch.column(0).to_pylist())
             codes = table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
             if len(codes) > 2:
@@ -90,21 +92,27 @@ def readings(token: str, i: int) -> list[tuple[str, float]]:
 
 
 def decode(token: str, costs: np.ndarray) -> str:
-    """The likeliest spelling of a token: Viterbi over its lattice, states being the last two characters."""
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest spelling of a token: Viterbi over its lattice, states being the last two characters; linear in the token's length.
+
+    A state keeps its cost and a chain of (chain before, character), so no
+    string is copied; of equal costs the reading met first stays.
+    """
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for i in range(len(token)):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for c, cost in readings(token, i):
+            k = CODE[c] if c else None
             for (a, b), (old, made) in beam.items():
-                if c:
-                    k = CODE[c]
-                    state, now = (b, k), (old + cost + costs[a, b, k], made + c)
-                else:
-                    state, now = (a, b), (old + cost, made)
-                if state not in new or now < new[state]:
-                    new[state] = now
+                state, now = ((b, k), old + cost + costs[a, b, k]) if c else ((a, b), old + cost)
+                if state not in new or now < new[state][0]:
+                    new[state] = now, (made, c) if c else made
         beam = new
-    return min((cost + costs[a, b, 0], made) for (a, b), (cost, made) in beam.items())[1]
+    made = min(((cost + costs[a, b, 0], (a, b)) for (a, b), (cost, _) in beam.items()))[1]
+    out, chain_ = [], beam[made][1]
+    while chain_:
+        chain_, c = chain_
+        out.append(c)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -137,47 +145,43 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:k]}" for k in range(3, min(6, len(word)) + 1))] if word else []
 
 
-def learn(rows: list[tuple[str, int]], restorer: Restorer, rate: float) -> tuple[dict[str, float], float]:
-    """Weights of telling features, and the bias; ``rate`` is the share of label 1 among all labelled rows.
+def longest(words: set[str]) -> list[int]:
+    """Hashes of the four longest words, by which copies are told."""
+    return [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 1 for w in sorted(words, key=lambda w: (-len(w), w))[:4]]
 
-    A feature's weight is the lower bound (two standard errors) of the
-    logarithm of its odds under label 1 against label 0; weights of 0.7 and
-    more are kept. Rows that share two of their longest words with an earlier
-    row of their label count once, so groups of copies don't teach their own
-    words. Of these features the strongest first, the longer among equals, each
-    stays if it marks ``LEAST_NEW`` rows of label 1 that no stronger one
-    marks, or is a word of nearly the largest weight.
-    """
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+
+def uncopied(rows: list[tuple[int, int, list[int]]]) -> dict[int, int]:
+    """Ids and labels of the training rows (id, label, longest words) that count: one that shares two of its longest words with an earlier row of its label does not."""
     met: dict[int, set] = {0: set(), 1: set()}
-    n: Counter = Counter()
-    marked: list[set[str]] = []
-    for text, y in sorted(rows):
-        words = restorer.words(text)
-        longest = sorted(words, key=lambda w: (-len(w), w))[:4]
-        if sum(w in met[y] for w in longest) < 2:
-            met[y].update(longest)
-            n[y] += 1
-            found = set(chain.from_iterable(map(features, words)))
-            seen[y].update(found)
-            if y:
-                marked.append(found)
-    weights = {}
-    for f, k in seen[1].items():
-        c = seen[0][f]
-        low = math.log((k + 0.5) / (n[1] + 1)) - math.log((c + 0.5) / (n[0] + 1)) - 2 * math.sqrt(1 / (k + 0.5) + 1 / (c + 0.5))
-        if low >= 0.7:
-            weights[f] = low
+    out = {}
+    for i, y, words in sorted(rows):
+        if sum(w in met[y] for w in words) < 2:
+            met[y].update(words)
+            out[i] = y
+    return out
+
+
+def telling(counts: DataFrame, n0: int, n1: int) -> dict[str, float]:
+    """Weights of features (f, n0, n1: rows of each label that have it): the lower bound, two standard errors, of the logarithm of the odds; 0.7 and more are kept."""
+    k, c = F.col("n1"), F.col("n0")
+    low = F.log((k + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1)) - 2 * F.sqrt(1 / (k + 0.5) + 1 / (c + 0.5))
+    kept = counts.where((k >= LEAST_NEW) | F.col("f").startswith("=") & (k > 0)).select("f", low.alias("low")).where("low >= 0.7")
+    return {r.f: r.low for r in kept.collect()}
+
+
+def thinned(weights: dict[str, float], marked: list[list[str]]) -> dict[str, float]:
+    """The weights that stay: strongest first, the longer among equals, those that mark ``LEAST_NEW`` rows (lists of telling features) that no stronger one marks, and words of nearly the largest weight."""
     cover: dict[str, set[int]] = {f: set() for f in weights}
     for i, found in enumerate(marked):
-        for f in found.intersection(weights):
+        for f in found:
             cover[f].add(i)
     done: set[int] = set()
+    out = dict(weights)
     for f in sorted(weights, key=lambda f: (-round(weights[f], 1), -len(f), f)):
-        if len(cover[f] - done) < LEAST_NEW and not (f[0] == "=" and weights[f] >= STRONG * max(weights.values())):
-            del weights[f]
+        if len(cover[f] - done) < LEAST_NEW and not (f[0] == "=" and weights[f] >= STRONG * max(out.values())):
+            del out[f]
         done |= cover[f]
-    return weights, math.log(max(rate, 1e-6) / max(1 - rate, 1e-6))
+    return out
 
 
 class Scorer:
@@ -207,18 +211,54 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict, float]:
-    """Character costs from all documents; weights from at most ``train_rows`` labelled rows of each label outside the held-out fold, chosen by a hash of the id."""
+    """Character costs from all documents; weights from at most ``train_rows`` labelled rows of each label outside the held-out fold, chosen by a hash of the id; and the bias, from the share of label 1 among all such rows.
+
+    Texts stay in the tasks: what comes to the driver is four hashes of each
+    training row, the telling features, and which rows of label 1 have them.
+    Of documents of one id the least text counts.
+    """
     costs = character_model(character_counts(docs, text_col))
-    marked = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__i"), F.col(label_col).cast("int").alias("__y"))
+    marked = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("__i"), F.col(label_col).cast("int").alias("__y"))
     n = {r["__y"]: r["count"] for r in marked.groupBy("__y").count().collect()}
+    bias = math.log(max(rate := n.get(1, 0) / max(1, sum(n.values())), 1e-6) / max(1 - rate, 1e-6))
     chosen = None
     for y in (0, 1):
         part = marked.where(F.col("__y") == y).orderBy(F.xxhash64("__i"), "__i").limit(train_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(f"`{id_col}`").alias("__d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__x"))
-    rows = [(r["__x"], r["__y"]) for r in texts.join(F.broadcast(chosen), F.col("__d") == F.col("__i")).select("__x", "__y").toLocalIterator()]
-    weights, bias = learn(rows, Restorer(costs), n.get(1, 0) / max(1, sum(n.values())))
-    return costs, weights, bias
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("__d"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__x"))
+    met = texts.join(F.broadcast(chosen.distinct()), F.col("__d") == F.col("__i"))
+    train = cut_lineage(met.groupBy("__i").agg(F.max("__y").alias("y"), F.min("__x").alias("x")).select(F.col("__i").alias("i"), "y", "x"))
+
+    def over(read, schema):
+        """Rows of ``read(batches of (i, y, words))`` over the training rows."""
+        fields = T._parse_datatype_string(schema).fields
+        names, types = [f.name for f in fields], [to_arrow_type(f.dataType) for f in fields]
+
+        def run(batches):
+            restorer = Restorer(costs)
+            for batch in cut_batches(batches):
+                ids, ys, xs = (batch.column(k).to_pylist() for k in range(3))
+                rows = list(read(zip(ids, ys, map(restorer.words, xs))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        return train.mapInArrow(run, schema)
+
+    told = over(lambda rows: ((i, y, longest(w)) for i, y, w in rows), "i long, y int, w array<long>").collect()
+    counted = uncopied([(r.i, r.y, r.w) for r in told])
+
+    def count(rows):
+        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for i, y, words in rows:
+            if i in counted:
+                seen[y].update(set(chain.from_iterable(map(features, words))))
+        return ((f, seen[0][f], seen[1][f]) for f in {*seen[0], *seen[1]})
+
+    counts = over(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    n1 = sum(counted.values())
+    weights = telling(counts, len(counted) - n1, n1)
+    have = over(lambda rows: ((i, list(weights.keys() & chain.from_iterable(map(features, w)))) for i, y, w in rows if y and i in counted), "i long, f array<string>")
+    return costs, thinned(weights, [r.f for r in have.orderBy("i").collect()]), bias
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None) -> DataFrame:
