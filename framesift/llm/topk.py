@@ -4,7 +4,9 @@ Blocks of rows hold each quantised attribute as bit slices: bitmaps with a
 bit for each row. A query's scores of a whole block come from adding shifted
 slices with full-adder bitmap arithmetic; the top rows are chosen from the
 most significant sum slice down, and rows that tie at the boundary are
-resolved exactly by id. Spark pairs blocks of rows with blocks of queries.
+resolved exactly by id. Spark sends blocks of queries to the blocks of rows.
+Vectors with components too large for 64-bit sums stand in blocks of their
+own, whose rows are bounded by rounded sums and resolved with whole numbers.
 """
 
 from __future__ import annotations
@@ -17,58 +19,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut_lineage
+from .common import cut_batches, cut_lineage
 
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 512
-#: Quantised components at or beyond this magnitude would overflow 64-bit scores.
-LARGEST = 1 << 24
+#: Quantised components from this magnitude on go the way of large ones, as do vectors of more components than LONGEST: their sums could pass 64 bits.
+LARGEST, LONGEST = 1 << 24, 1 << 14
+LONG = (1 << 63) - 1
+#: Bytes of a score's full value, for order among scores that a long cannot hold.
+WIDE = 288
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id, v): components floor(scale * x) as longs; without null ids and vectors that are null, empty, hold null or non-finite components, or components of 2^24 or more after scaling."""
+    """(id, v, large): components floor(scale * x), x as double, as doubles, which hold these whole numbers exactly; without null ids and vectors that are null, empty or hold null or non-finite components."""
     x = F.col(f"`{vector_col}`")
-    fine = F.forall(x, lambda c: F.coalesce((F.abs(c.cast("double")) * scale < LARGEST), F.lit(False)))  # NaN compares as largest
+    whole = F.transform(x, lambda c: F.rint(c.cast("double") * scale))  # floor() makes longs
+    v = F.zip_with(whole, x, lambda r, c: F.when(r > c.cast("double") * scale, r - 1).otherwise(r))
+    fine = F.forall(x, lambda c: F.coalesce(F.abs(c.cast("double")) * scale < float("inf"), F.lit(False)) & ~F.isnan(c))
     rows = df.where(x.isNotNull() & F.col(f"`{id_col}`").isNotNull() & (F.size(x) > 0)).where(fine)
-    return rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
+    rows = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
+    return rows.withColumn("large", F.exists("v", lambda c: F.abs(c) >= LARGEST) | (F.size("v") > LONGEST))
 
 
 def pack_values(values: np.ndarray) -> bytes:
-    """Quantised components in the fewest of 1, 2 or 4 bytes each."""
-    return values.astype(np.min_scalar_type(-1 - int(np.abs(values).max()))).tobytes()
+    """Whole components in the fewest of 1, 2 or 4 bytes each; as doubles if one is large."""
+    most = np.abs(values).max()
+    if most >= LARGEST:
+        return values.astype("<f8").tobytes()
+    return values.astype(np.min_scalar_type(-1 - int(most))).tobytes()
 
 
 def unpack(data: bytes, rows: int, dim: int) -> np.ndarray:
-    """The components of so many rows, as 64-bit integers."""
-    return np.frombuffer(data, f"i{len(data) // (rows * dim)}").astype(np.int64).reshape(rows, dim)
+    """The components of so many rows, as 64-bit integers, or as doubles where they were packed so."""
+    width = len(data) // (rows * dim)
+    kind, to = ("<f8", np.float64) if width == 8 else (f"i{width}", np.int64)
+    return np.frombuffer(data, kind).astype(to).reshape(rows, dim)
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(dim, ids, values): rows of one length packed as binary, at most ``size`` rows in a block."""
+    """(part, dim, ids, values): rows of one length, large ones apart, packed as binary; at most ``size`` rows in a block. part is the partition."""
 
     def pack(batches):
-        held: dict[int, list] = {}
+        from pyspark import TaskContext
+
+        at = TaskContext.get().partitionId()
+        held: dict[tuple, list] = {}
 
         def flush(dim, part):
             ids, vs = np.concatenate([p[0] for p in part]), np.concatenate([p[1] for p in part])
             for i in range(0, len(ids), size):
-                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[i : i + size].tobytes()]), pa.array([pack_values(vs[i : i + size])])], names=["dim", "ids", "values"])
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids[i : i + size].tobytes()]), pa.array([pack_values(vs[i : i + size])])], names=["part", "dim", "ids", "values"])
 
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            lens, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+            ids, lists, large = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
+            lens, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.cumsum(lens)
-            for dim in np.unique(lens):
-                at = np.flatnonzero(lens == dim)
-                take = (ends[at, None] - dim + np.arange(dim)).reshape(-1)
-                part = held.setdefault(int(dim), [])
-                part.append((ids[at].astype(np.int64), flat[take].astype(np.int64).reshape(-1, dim)))
+            for dim, big in {*zip(lens.tolist(), large.tolist())}:
+                rows_ = np.flatnonzero((lens == dim) & (large == big))
+                take = (ends[rows_, None] - dim + np.arange(dim)).reshape(-1)
+                part = held.setdefault((dim, big), [])
+                part.append((ids[rows_].astype(np.int64), flat[take].reshape(-1, dim)))
                 if sum(len(p[0]) for p in part) >= size:
-                    yield from flush(int(dim), held.pop(int(dim)))
-        for dim, part in held.items():
+                    yield from flush(dim, held.pop((dim, big)))
+        for (dim, _), part in held.items():
             yield from flush(dim, part)
 
-    return rows.mapInArrow(pack, "dim int, ids binary, values binary")
+    return rows.mapInArrow(pack, "part int, dim int, ids binary, values binary")
 
 
 def to_bitmap(flags: np.ndarray) -> np.ndarray:
@@ -135,38 +151,65 @@ class BitSlicedBlock:
         return self.ids[rows[best]], score[best]
 
 
+def large_top(ids: np.ndarray, values: np.ndarray, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """Ids and whole scores of the k best rows, for components beyond 64-bit sums: rows that rounded sums leave possible are scored with whole numbers."""
+    values, query = values.astype(np.float64), query.astype(np.float64)
+    rounded, slack = values @ query, (2 * len(query) + 4) * 2.0**-53 * (np.abs(values) @ np.abs(query))
+    live = np.flatnonzero(ids != own)
+    if len(live) > k and np.isfinite(slack).all():
+        least = np.partition(rounded[live] - slack[live], -k)[-k]
+        live = live[rounded[live] + slack[live] >= least]
+    q = [int(x) for x in query.tolist()]
+    scored = [(-sum(int(a) * b for a, b in zip(values[i].tolist(), q)), int(ids[i])) for i in live]
+    return [(i, -s) for s, i in sorted(scored)[:k]]
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, id_col, score): each query's k highest integer inner products, ties to the smaller id.
 
     A query's own id is no candidate. Vectors that are null, empty or hold
-    null, non-finite or huge (2^24 after scaling) components take no part,
-    nor do rows with a null id; only vectors of the query's length are its
-    candidates. Repeated candidate rows rank each. A query without candidates
-    has no row; empty tables give an empty one.
+    null or non-finite components take no part, nor do rows with a null id;
+    only vectors of the query's length are its candidates. Ranks are exact
+    for components of any magnitude that are finite after scaling; a score that a long cannot hold
+    is given as the nearest long. Repeated candidate rows rank each; of
+    queries of one id the one with the least vector is asked. A query without
+    candidates has no row; empty tables give an empty one; other columns,
+    whatever their names, play no part.
     """
-    spark = candidates.sparkSession
-    cand, quer = (cut_lineage(quantised(d, id_col, vector_col, scale)) for d in (candidates, queries.dropDuplicates([id_col])))
+    cand = cut_lineage(quantised(candidates, id_col, vector_col, scale))
+    asked = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min(F.struct("v", "large")).alias("q")).select("id", "q.v", "q.large")
+    quer = cut_lineage(asked)
     parts, q_parts = max(1, math.ceil(cand.count() / BLOCK_ROWS)), max(1, math.ceil(quer.count() / BLOCK_QUERIES))
-    index = cut_lineage(blocks(cand.repartition(parts), BLOCK_ROWS)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-    asked = cut_lineage(blocks(quer.repartition(q_parts), BLOCK_QUERIES).select(F.spark_partition_id().alias("qb"), "dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values")))
-    pairs = index.join(asked, ["qb", "dim"]).repartition(max(parts * q_parts, 2))
+    # a part of the index is a block of each length; the queries, smaller, are sent to every part
+    index = cut_lineage(blocks(cand.repartition(parts), 2 * BLOCK_ROWS))
+    told = blocks(quer.repartition(q_parts), BLOCK_QUERIES).select("dim", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
+    sent = cut_lineage(told).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = index.hint("shuffle_merge").join(sent, ["part", "dim"]).select("dim", "ids", "values", "q_ids", "q_values")
 
     def search(batches):
-        last, block = None, None
-        for batch in batches:
-            for r in batch.to_pylist():
-                key = r["ids"]
-                if key != last:
-                    last, block = key, BitSlicedBlock(np.frombuffer(key, np.int64), unpack(r["values"], len(key) // 8, r["dim"]))
-                q_ids, qs = np.frombuffer(r["q_ids"], np.int64), unpack(r["q_values"], len(r["q_ids"]) // 8, r["dim"])
+        last, block, values = None, None, None
+        for batch in cut_batches(batches, 1):
+            r = batch.to_pylist()[0]
+            if (r["ids"], r["values"]) != last:
+                last, ids, values, block = (r["ids"], r["values"]), np.frombuffer(r["ids"], np.int64), unpack(r["values"], len(r["ids"]) // 8, r["dim"]), None
+            q_ids, qs = np.frombuffer(r["q_ids"], np.int64), unpack(r["q_values"], len(r["q_ids"]) // 8, r["dim"])
+            out_q, out_id, out_score, out_wide = [], [], [], []
+            if values.dtype == np.int64 and qs.dtype == np.int64 and r["dim"] <= LONGEST:
+                block = block or BitSlicedBlock(ids, values)
                 tops = [block.top(q, own, k) for own, q in zip(q_ids, qs)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(q_ids, [len(t[0]) for t in tops])), pa.array(np.concatenate([t[0] for t in tops])), pa.array(np.concatenate([t[1] for t in tops]))
-                ], names=["query_id", "id", "score"])
-
-    rows_before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # a row is a whole block here
-    found = cut_lineage(pairs.select("dim", "ids", "values", "q_ids", "q_values").mapInArrow(search, "query_id long, id long, score long"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_before)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+                out_q, out_id = np.repeat(q_ids, [len(t[0]) for t in tops]), np.concatenate([t[0] for t in tops])
+                out_score = np.concatenate([t[1] for t in tops])
+                out_wide = [None] * len(out_q)
+            else:
+                for own, q in zip(q_ids.tolist(), qs):
+                    for i, s in large_top(ids, values, q, own, k):
+                        fits = -LONG < s < LONG
+                        out_q.append(own)
+                        out_id.append(i)
+                        out_score.append(max(-LONG, min(LONG, s)))
+                        out_wide.append(None if fits else (s + (1 << 8 * WIDE - 1)).to_bytes(WIDE, "big"))
+            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_id, pa.int64()), pa.array(out_score, pa.int64()), pa.array(out_wide, pa.binary())], names=["query_id", "id", "score", "wide"])
+
+    found = cut_lineage(pairs.mapInArrow(search, "query_id long, id long, score long, wide binary"))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("wide").desc_nulls_last(), F.col("id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
