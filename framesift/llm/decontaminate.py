@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 SIZE = 13
-#: A benchmark with more windows than this is not broadcast but looked up by shuffled joins.
-BROADCAST_WINDOWS = 1_000_000
+#: A benchmark whose windows hold more characters than this is not broadcast but looked up by shuffled joins.
+BROADCAST_CHARS = 16 << 20
 #: A screen of more grams than this is left out: its hash set would no longer be small in the plan.
 SCREEN_GRAMS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,8 +61,13 @@ def no_windows() -> Column:
     return F.array().cast("array<struct<start:int,n:int,window:string>>")
 
 
+def hashed(window: Column) -> Column:
+    """128 bits of a window in hexadecimal, by which it is looked up where windows of all documents are shuffled."""
+    return F.concat(F.hex(F.xxhash64(window)), F.lit("-"), F.hex(F.xxhash64(window, F.lit(1))))
+
+
 def found_windows(words: Column, windows: DataFrame, n: int, screened: bool) -> Column:
-    """The document's windows of n words, as (start, n, window): all, or those whose hash is in the set of item windows."""
+    """The document's windows of n words, as (start, n, window): all, hashed, or those whose hash is in the set of item windows, by their words."""
     starts = places(words, n)
     if screened:
         g, stride = screen_plan(n)
@@ -69,7 +76,7 @@ def found_windows(words: Column, windows: DataFrame, n: int, screened: bool) ->
         screen = [r.h for r in grams.distinct().collect()]
         keys = [r.h for r in windows.select(F.xxhash64("window").alias("h")).distinct().collect()]
         starts = F.filter(starts, lambda i: F.xxhash64(gram(words, i, n)).isin(keys))
-    found = F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), gram(words, i, n).alias("window")))
+    found = F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), (gram(words, i, n) if screened else hashed(gram(words, i, n))).alias("window")))
     if screened:
         passed = F.exists(places(words, g, stride), lambda i: F.xxhash64(gram(words, i, g)).isin(screen))
         found = F.when(passed, found).otherwise(no_windows())
@@ -82,17 +89,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_co
     items: ids (strings, sorted) of the benchmark items with a window in the
     document; spans: the windows found, as (start, n) in words. Null and empty
     texts have no words; benchmark items without words are never found.
-    Repeated rows give a row each. Only rows with hits are shuffled, and the
-    narrow columns of the others.
+    Repeated rows give a row each; an empty benchmark finds nothing, an empty
+    table gives an empty one; other columns, whatever their names, play no
+    part. Texts are read once; only hits and narrow columns are shuffled.
     """
-    windows = item_windows(benchmark, size).persist()
-    counts = {r.n: r["count"] for r in windows.select("n", "window").distinct().groupBy("n").count().collect()}
+    windows = cut_lineage(item_windows(benchmark, size))
+    sizes = windows.select("n", "window").distinct().groupBy("n").agg(F.count("*").alias("count"), F.sum(F.length("window")).alias("chars")).collect()
+    counts, small = {r["n"]: r["count"] for r in sizes}, sum(r["chars"] for r in sizes) <= BROADCAST_CHARS
     words = F.col("__words")
     base = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(f"`{text_col}`").alias("__text"), once(words_of(F.col(f"`{text_col}`"))).alias("__words"))
-    small = sum(counts.values()) <= BROADCAST_WINDOWS
-    hits = [found_windows(words, windows.where(F.col("n") == n), n, small and counts[n] * (n // 2 + 1) <= SCREEN_GRAMS) for n in sorted(counts)]
-    rows = base.select("__id", "__text", F.size(words).cast("long").alias("n_words"), once(F.concat(*hits) if hits else no_windows()).alias("__hits"))
-    lookup = windows.select("window", "item_id")
+    screened = [n for n in sorted(counts) if small and counts[n] * (n // 2 + 1) <= SCREEN_GRAMS]
+    hits = [found_windows(words, windows.where(F.col("n") == n), n, n in screened) for n in sorted(counts)]
+    # narrow rows, written once: both what is found and every document's number of words are read from them
+    rows = cut_lineage(base.select("__id", "__text", F.size(words).cast("long").alias("n_words"), once(F.concat(*hits) if hits else no_windows()).alias("__hits")))
+    lookup = windows.select(F.when(F.col("n").isin(screened), F.col("window")).otherwise(hashed(F.col("window"))).alias("window"), "item_id")
     each = rows.where(F.size("__hits") > 0).select("__id", "__text", F.explode(F.array_distinct("__hits")).alias("hit")).select("__id", "__text", "hit.*")
     verified = each.join(F.broadcast(lookup) if small else lookup, "window")
     spans = F.collect_set(F.struct("start", "n")).alias("spans")

@@ -2,7 +2,7 @@
 
 A line is boilerplate of a host if the pages of the host that contain it,
 divided by all pages of the host, exceed a ratio. Lines are compared without
-the white space around them, by their XXH64; lines without text never count.
+the ASCII white space around them, by their XXH64; lines without text never count.
 """
 
 from __future__ import annotations
@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 RATIO = 0.05
-LEAST_PAGES = 5
-#: Boilerplate lines up to this number go out as a broadcast (a few MB); more are joined by host.
-BROADCAST_LINES = 100_000
+#: Pages that must have a line before it counts as repeated at all: more than one. The ratio decides beyond that, on hosts of any size.
+LEAST_PAGES = 2
+#: Boilerplate lines up to this number go out as a broadcast (a few MB); more are joined by host, whose pages are dealt to SALTS groups.
+BROADCAST_LINES, SALTS = 100_000, 64
+#: White space around a line.
+SPACE = " \t\r\x0b\x0c"
+
+
+def trimmed(line: Column) -> Column:
+    return F.trim(line, F.lit(SPACE))
 
 
 def line_keys(text: Column) -> Column:
     """A hash for each line of a text, in order; null for lines without text."""
-    return F.transform(F.split(text, "\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+    return F.transform(F.split(text, "\n"), lambda x: F.when(trimmed(x) != "", F.xxhash64(trimmed(x))))
 
 
 def boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, copies: bool = True) -> DataFrame:
@@ -53,15 +60,19 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     """
     found = cut_lineage(boilerplate(df, host_col, text_col, ratio, least_pages, copies).select("host", "key"))
     by_host = found.groupBy("host").agg(F.collect_set("key").alias("__drop")).withColumnRenamed("host", "__host")
+    host, text = F.col(f"`{host_col}`"), F.col(f"`{text_col}`")
     if found.count() <= BROADCAST_LINES:
-        by_host = F.broadcast(by_host)
-    joined = df.join(by_host, F.col(f"`{host_col}`").eqNullSafe(F.col("__host")), "left")
-    text = F.col(f"`{text_col}`")
-    bad = lambda x: F.when(F.trim(x) != "", F.array_contains("__drop", F.xxhash64(F.trim(x)))).otherwise(F.lit(False))
-    kept = F.when(F.col("__drop").isNotNull(), F.filter(F.split(text, "\n"), lambda x: ~bad(x)))
-    out = joined.withColumn("__kept", kept).withColumn("__lines", F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"))
+        joined = df.join(F.broadcast(by_host), host.eqNullSafe(F.col("__host")), "left")
+    else:  # a host may hold a third of all pages
+        lists = by_host.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = df.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(lists, host.eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__part")), "left").drop("__salt", "__part")
+    # a page's own bad lines are found in one pass over the host's list, then looked up among these few
+    bad = F.array_intersect(F.array_compact(line_keys(text)), "__drop")
+    own = joined.withColumn("__bad", F.when(F.col("__drop").isNotNull(), bad)).withColumn("__pairs", F.when(F.size("__bad") > 0, F.arrays_zip(F.split(text, "\n").alias("line"), line_keys(text).alias("key"))))
+    kept = F.transform(F.filter("__pairs", lambda x: x["key"].isNull() | ~F.array_contains("__bad", x["key"])), lambda x: x["line"])
+    out = own.withColumn("__kept", kept).withColumn("__lines", F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"))
     return out.withColumns({
         text_col: F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(text),
         "n_lines": F.col("__lines"),
         "n_dropped": F.when(F.col("__kept").isNotNull(), F.col("__lines") - F.size("__kept")).otherwise(0).cast("long"),
-    }).drop("__host", "__drop", "__kept", "__lines")
+    }).drop("__host", "__drop", "__bad", "__pairs", "__kept", "__lines")

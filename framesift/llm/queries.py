@@ -85,6 +85,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_tokens, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op8_substrings, op9_licenses, op10_decontaminate)}
 
+TRIM = "trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
+
 ORACLE_SQL = {
     "op3_topk": """
         WITH v AS (
@@ -96,13 +98,13 @@ ORACLE_SQL = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op6_lines": f"""
-        WITH l AS (SELECT doc_id, source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''))) AS line FROM documents),
+        WITH l AS (SELECT doc_id, source, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: {TRIM}), lambda x: x <> ''))) AS line FROM documents),
         h AS (SELECT source, count(*) AS host_pages FROM documents GROUP BY source),
         b AS (SELECT l.source, line FROM l JOIN h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, line, host_pages
               HAVING count(*) >= {LEAST_PAGES} AND count(*) > CAST({RATIO} AS DOUBLE) * host_pages),
         g AS (SELECT source, list(line) AS bad FROM b GROUP BY source),
         k AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines,
-                     list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), trim(x))) AS kept
+                     list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(coalesce(bad, []), {TRIM})) AS kept
               FROM documents d LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source)
         SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS BIGINT) AS n_dropped,
                array_to_string(kept, chr(10)) AS text FROM k""",

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import cut_batches, map_texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -32,8 +35,21 @@ COMMON = (
     "pepper", "ginger", "tigger", "jordan", "michael", "daniel", "charlie", "thomas", "robert", "george", "jessica", "ashley", "nicole", "server", "system",
     "database", "access", "token", "private", "public", "internet", "computer", "network", "example", "sample", "demo", "temp", "dev", "prod", "stage",
 )
-WORD_COST = {w: math.log10(i + 2) for i, w in enumerate(COMMON)}
-WORD_LENGTHS = sorted({len(w) for w in COMMON})
+#: Words that credential contexts of several documents share are words too, at most so many, commonest first.
+CORPUS_WORDS = 50_000
+LETTERS = re.compile("[a-z]{3,20}")
+
+
+class Words:
+    """What a word costs, by its place among the guessers' words and those of the corpus."""
+
+    def __init__(self, corpus: Sequence[str] = ()):
+        self.cost = {w: math.log10(i + 2) for i, w in enumerate(COMMON)}
+        for i, w in enumerate(corpus):
+            self.cost.setdefault(w, math.log10(i + len(COMMON) + 2))
+        self.lengths = sorted({len(w) for w in self.cost})
+
+
 LEET = str.maketrans("013457@$!", "oleastasi")
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
@@ -41,10 +57,12 @@ NEXT = {frozenset(p) for row in KEYBOARD for p in zip(row, row[1:])} | {frozense
 #: Longest piece of the structured kinds; longer ones are chains of pieces.
 PIECE = 24
 COSTLY = 10.0
+TELLING = re.compile(r"[0-9]|[A-Za-z][^\w\s][A-Za-z]|[a-z][A-Z]")
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, words: Words | None = None) -> float:
     """log10 of the guesses of the cheapest segmentation; linear in the value's length."""
+    words = words or PLAIN
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     pool = math.log10(10 if value.isdigit() else 16 if re.fullmatch("[0-9a-f]+", value) else 26 if value.isalpha() and value in (low, value.upper()) else 62 if value.isalnum() else 94)
@@ -53,8 +71,8 @@ def guess_cost(value: str) -> float:
     for i in range(n):
         at = best[i] + (0.3 if i else 0.0)
         best[i + 1] = min(best[i + 1], best[i] + pool)
-        for k in WORD_LENGTHS:
-            cost = WORD_COST.get(plain[i : i + k]) if i + k <= n else None
+        for k in words.lengths:
+            cost = words.cost.get(plain[i : i + k]) if i + k <= n else None
             if cost is not None:
                 part = value[i : i + k]
                 extra = 0.5 * (plain[i : i + k] != low[i : i + k]) + 0.3 * (part != part.lower())
@@ -81,20 +99,39 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
+PLAIN = Words()
+
+
+def context_values(text: str) -> list[tuple[int, str]]:
+    """(start, value) of the values in credential contexts, six characters and more without the marks that end them."""
+    if not CONTEXT_HINT.search(text):
+        return []
+    found = ((m.start(1), m[1].rstrip(".,;:!?)")) for m in CONTEXT.finditer(text))
+    return [(start, value) for start, value in found if len(value) >= 6]
+
+
+def shared_words(df: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
+    """Runs of 3 to 20 letters in the values of credential contexts that two documents or more have, the commonest first, ties in order of letters; all rows, whole texts. At most ``most`` come to the driver."""
+
+    def run(batches):
+        for batch in cut_batches(batches):
+            found = [w for text in batch.column(0).to_pylist() for w in {w for _, v in context_values(text) for w in LETTERS.findall(v.lower())}]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+
+    counts = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
+    return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def find_secrets(text: str, words: Words = PLAIN) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
     """Base spans (start, kind, end) in order, and added spans with their guess cost."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20] if "AKIA" in text else []
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     added = []
-    if CONTEXT_HINT.search(text):
-        for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".,;:!?)")
-            # prose follows credential words too: a value has a digit or a sign inside
-            if len(value) >= 6 and re.search(r"[0-9]|[A-Za-z][^\w\s][A-Za-z]", value):
-                cost = guess_cost(value)
-                if cost >= COSTLY:
-                    added.append((m.start(1), 3, m.start(1) + len(value), cost))
+    for start, value in context_values(text):
+        # prose follows credential words too: a value has a digit, a sign inside or a capital after a small letter
+        if TELLING.search(value) and (cost := guess_cost(value, words)) >= COSTLY:
+            added.append((start, 3, start + len(value), cost))
     return sorted(base), added
 
 
@@ -102,16 +139,18 @@ def secret_spans(df: DataFrame, text_col: str = "text", keep: list[str] | None =
     """The columns ``keep`` with ``secrets``: an array of (start, end, kind, guess_cost) by start, then kind.
 
     Offsets are code points, ends exclusive; guess_cost (log10 of guesses) is
-    given for added spans only. Whole texts, no shuffle. Null and empty texts
+    given for added spans only. Two passes over whole texts, the first for
+    words that credential contexts share; no shuffle of texts. Null and empty texts
     give an empty array; repeated rows are scanned each; a column named
-    secrets is replaced.
+    secrets is replaced; an empty table gives an empty one.
     """
+    words = df.sparkSession.sparkContext.broadcast(Words(shared_words(df, text_col)))
 
     def make():
         def run(texts):
             rows = []
             for text in texts:
-                base, added = find_secrets(text)
+                base, added = find_secrets(text, words.value)
                 spans = sorted([(*x, None) for x in base] + added, key=lambda x: x[:3])
                 rows.append([{"start": s, "end": e, "kind": KINDS[k], "guess_cost": c} for s, k, e, c in spans])
             return {"secrets": rows}
