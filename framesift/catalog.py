@@ -152,7 +152,11 @@ def near_pairs(spark: SparkSession, d: str) -> DataFrame:
     return choose.near_pairs(_hashes(spark, d), 18)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {HASH_SQL}, o AS (SELECT id, hash, row_number() OVER (ORDER BY score DESC, id) AS rn FROM h WHERE hash <> 0),
+  g AS (SELECT cast(0 as bigint) AS rn, cast([] as bigint[]) AS kept, cast([] as bigint[]) AS ids UNION ALL
+    SELECT o.rn, CASE WHEN far THEN list_append(kept, o.hash) ELSE kept END, CASE WHEN far THEN list_append(ids, o.id) ELSE ids END
+    FROM g JOIN o ON o.rn = g.rn + 1, LATERAL (SELECT len(list_filter(g.kept, lambda x: bit_count(xor(x, o.hash)) <= 18)) = 0 AS far))
+  SELECT unnest(ids) AS id FROM g WHERE rn = (SELECT max(rn) FROM g)""")
 def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return choose.greedy_dedupe(_hashes(spark, d), 18).select("id")
 
@@ -215,7 +219,12 @@ def composite_scores(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", F.round(score, 6).alias("score"))
 
 
-@query(None)
+@query("""WITH w AS (SELECT cast(c_nationkey as bigint) AS key, count(*) AS weight, cast(30 as bigint) AS low, 38 + c_nationkey % 9 AS high FROM customer GROUP BY c_nationkey),
+  s AS (SELECT *, weight / cast(sum(weight) OVER () as double) * 1000 AS want FROM w), r AS (SELECT *, row_number() OVER (ORDER BY want - floor(want) DESC, key) AS n, 1000 - sum(floor(want)) OVER () AS short FROM s),
+  c AS (SELECT *, cast(greatest(low, least(high, floor(want) + CASE WHEN n <= short THEN 1 ELSE 0 END)) as bigint) AS o FROM r), m AS (SELECT *, 1000 - cast(sum(o) OVER () as bigint) AS miss, sum(low) OVER () AS lows, sum(high) OVER () AS highs FROM c),
+  u AS (SELECT key, want, miss, unnest(CASE WHEN miss > 0 THEN range(o, cast(high as bigint)) ELSE range(low + 1, o + 1) END) AS v FROM m WHERE miss <> 0),
+  k AS (SELECT key, sign(miss) AS d, row_number() OVER (ORDER BY (v - want) * sign(miss), key * sign(miss)) AS n, abs(miss) AS most FROM u), d AS (SELECT key, cast(sum(d) as bigint) AS moved FROM k WHERE n <= most GROUP BY key)
+  SELECT m.key, cast(CASE WHEN lows > 1000 THEN low WHEN highs <= 1000 THEN high ELSE o + coalesce(moved, 0) END as bigint) AS units FROM m LEFT JOIN d USING (key)""")
 def bounded_units(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("key")).agg(F.count("*").alias("weight"))
     return choose.bounded_units(w.withColumns({"low": F.lit(30).cast("bigint"), "high": 38 + F.col("key") % 9}), 1000, [])

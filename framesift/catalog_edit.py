@@ -80,13 +80,35 @@ def place_labels(spark: SparkSession, d: str) -> DataFrame:
     return there.select("n_nationkey", C.place_label(lat, lon, F.when(named, F.col("n_name")), F.when(named & (k % 5 != 1), F.concat(F.lit(" "), "r_name")), F.when(named, F.col("n_name"))).alias("place"))
 
 
-@query(None)
+def fill_sql(pool: str, by: str) -> str:
+    """CTEs ending in ``picked`` (by, item_id, chapter, pick): the three phases of the fill as one walk over each group of the CTE ``pool``."""
+    same = " AND ".join(f"{{a}}.{c.strip()} = {{b}}.{c.strip()}" for c in by.split(","))
+    return f"""able AS (SELECT *, CASE kind WHEN 'video' THEN cast(2 as double) ELSE cast(3 as double) END AS need FROM {pool} WHERE kind <> 'video' OR seconds >= 2 - 0.000001),
+  qa AS (SELECT {by}, chapter, sum(need) AS a FROM able GROUP BY {by}, chapter), qq AS (SELECT {by}, chapter, greatest(cast(3 as double), a / sum(a) OVER (PARTITION BY {by}) * 0.7 * 180) AS quota FROM qa),
+  rk AS (SELECT able.*, quota, row_number() OVER (PARTITION BY {by}, kind ORDER BY score DESC, item_id) AS vr FROM able JOIN qq USING ({by}, chapter)),
+  steps AS (SELECT 1 AS phase, cast(0 as bigint) AS turn, * FROM rk WHERE kind = 'video' AND vr <= 19 UNION ALL SELECT 2, chapter, * FROM rk UNION ALL SELECT 3, 0, * FROM rk),
+  walk AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY phase, turn, score DESC, item_id) AS rn FROM steps),
+  st AS (SELECT DISTINCT {by}, cast(0 as bigint) AS rn, cast(0 as double) AS spent, cast([] as bigint[]) AS picks, cast(-1 as bigint) AS chap, cast(0 as double) AS used, false AS dead FROM walk
+    UNION ALL SELECT {", ".join(f"w.{c.strip()}" for c in by.split(","))}, w.rn, CASE WHEN pick THEN st.spent + w.need ELSE st.spent END, CASE WHEN pick THEN list_append(st.picks, w.item_id) ELSE st.picks END, CASE WHEN w.phase = 2 THEN w.chapter ELSE -1 END,
+      CASE WHEN w.phase = 2 THEN used0 + CASE WHEN pick THEN w.need ELSE 0 END ELSE 0 END, w.phase = 2 AND (dead0 OR (fresh AND NOT pick))
+    FROM st JOIN walk w ON {same.format(a="w", b="st")} AND w.rn = st.rn + 1,
+    LATERAL (SELECT CASE WHEN st.chap = w.chapter THEN st.used ELSE 0 END AS used0, CASE WHEN st.chap = w.chapter THEN st.dead ELSE st.spent >= 180 END AS dead0, NOT list_contains(st.picks, w.item_id) AS fresh, st.spent + w.need <= 180 OR len(st.picks) < 4 AS fits),
+    LATERAL (SELECT fresh AND fits AND CASE w.phase WHEN 1 THEN true WHEN 2 THEN NOT dead0 AND used0 + w.need <= w.quota ELSE st.spent < 180 END AS pick)),
+  done AS (SELECT {by}, arg_max(picks, rn) AS picks FROM st GROUP BY {by}), picked AS (SELECT {by}, item_id, chapter, cast(list_position(picks, item_id) - 1 as bigint) AS pick FROM rk JOIN done USING ({by}) WHERE list_contains(picks, item_id))"""
+
+
+UNREJECTED_SQL = f"WITH RECURSIVE {CHAPTERS_SQL.replace('FROM items)', 'FROM items WHERE reject IS NULL)', 1)}"
+
+
+@query(f"""{UNREJECTED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY device, us // 60000000 ORDER BY score DESC, item_id) AS br FROM chaptered), pool AS (SELECT * FROM b WHERE br <= 2), {fill_sql("pool", "device")}
+  SELECT device, item_id, chapter, pick FROM picked""")
 def greedy_fill(spark: SparkSession, d: str) -> DataFrame:
     pool = choose.burst_cap(trip.chapters(items(spark, d).where("reject IS NULL")), 2)
     return fill.greedy_fill(pool, ["device"]).select("device", "item_id", "chapter", "pick")
 
 
-@query(None)
+@query(f"""{UNREJECTED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY device, us // 60000000 ORDER BY score DESC, item_id) AS br FROM chaptered), pool AS (SELECT b.*, cap FROM b, (VALUES (2), (4), (8), (16)) v(cap) WHERE br <= cap), {fill_sql("pool", "device, cap")},
+  f AS (SELECT *, count(*) OVER (PARTITION BY device, cap) * 2 >= 0.97 * 180 AS filled FROM picked), c AS (SELECT *, coalesce(min(CASE WHEN filled THEN cap END) OVER (PARTITION BY device), 16) AS best FROM f) SELECT device, cap, item_id, chapter, pick FROM c WHERE cap = best""")
 def fill_ladder(spark: SparkSession, d: str) -> DataFrame:
     return fill.fill_ladder(trip.chapters(items(spark, d).where("reject IS NULL"))).select("device", "cap", "item_id", "chapter", "pick")
 
@@ -185,7 +207,13 @@ def local_mean_flux(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.col("i").cast("bigint").alias("i"), F.round("above", 6).alias("above"))
 
 
-@query(None)
+@query("""WITH m AS (SELECT l_suppkey AS clip, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS i, CASE WHEN l_quantity >= 49 THEN 90 ELSE l_quantity / 5 END AS v FROM lineitem),
+  a AS (SELECT *, count(*) OVER (PARTITION BY clip) AS n, median(v) OVER (PARTITION BY clip) AS mid FROM m), d AS (SELECT *, median(abs(v - mid)) OVER (PARTITION BY clip) AS mad FROM a),
+  l AS (SELECT clip, i, n FROM d WHERE i = 0 OR (n >= 3 AND v >= greatest(0.28 * 255 * 0.35, mid + 6 * (1.4826 * mad)))),
+  r AS (SELECT *, i - row_number() OVER (PARTITION BY clip ORDER BY i) AS run FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY clip, run ORDER BY i) AS nth FROM r), c AS (SELECT clip, n, i AS a, coalesce(lead(i) OVER (PARTITION BY clip ORDER BY i), n) AS b FROM k WHERE nth % 2 = 1),
+  p AS (SELECT *, cast(ceil((b - a) / cast(18 as double)) as bigint) AS p FROM c), e AS (SELECT *, unnest(range(p)) AS j FROM p),
+  x AS (SELECT clip, n, cast(a + round_even(j * ((b - a) / cast(p as double)), 0) as integer) AS first, cast(a + round_even((j + 1) * ((b - a) / cast(p as double)), 0) as integer) AS last FROM e)
+  SELECT clip, first, last, round(first / cast(3 as double), 6) AS start_s, round(least(n / cast(3 as double), last / cast(3 as double)), 6) AS end_s FROM x WHERE least(n / cast(3 as double), last / cast(3 as double)) - first / cast(3 as double) >= 0.8""")
 def shot_cuts(spark: SparkSession, d: str) -> DataFrame:
     """Shots of clips whose motion is the quantities of a supplier, one sample each."""
     o = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("clip")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))), lambda x: F.when(x["l_quantity"] >= 49, 90.0).otherwise(x["l_quantity"] / 5)).alias("motion"))
@@ -198,6 +226,8 @@ def chapter_report(spark: SparkSession, d: str) -> DataFrame:
     return sinks.chapter_report(cut_list(spark, d), ["device"])
 
 
-@query(None)
+@query(f"""WITH cl AS ({CUTS_SQL}), t AS (SELECT *, coalesce(lag(frame) OVER (PARTITION BY device ORDER BY pos), 0) AS s FROM cl),
+  e AS (SELECT device, list(struct_pack(index := pos, start := round(s / cast(30 as double), 3), duration := round((frame - s) / cast(30 as double), 3), beats := beats, source := item_id, chapter := chapter) ORDER BY pos) AS entries, round(sum((frame - s) / cast(30 as double)), 3) AS duration FROM t GROUP BY device)
+  SELECT device, cast(to_json(struct_pack(target := cast(180 as double), duration := duration, music := struct_pack(bpm := cast(120 as double)), render := struct_pack(fps := 30), entries := entries)) as varchar) AS value FROM e""")
 def cut_list_json(spark: SparkSession, d: str) -> DataFrame:
     return sinks.cut_list_json(cut_list(spark, d), ["device"])
