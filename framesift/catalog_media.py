@@ -12,6 +12,7 @@ from .functions import columns as C
 from .functions import media as M
 from .operators import arrange, choose, intake, series, trip
 from .plans.cut_list import cut_list
+from .plans.film import film as make_film
 from .sources.tables import ITEMS_SQL, items, table
 
 D = "cast({} as double)".format
@@ -372,3 +373,8 @@ def item_or_first_chapter(spark: SparkSession, d: str) -> DataFrame:
     return trip.item_in_range(i, trip.chapter_summary(i).where("chapter % 2 = 0"), missing=0)
 
 
+
+
+@query(None)
+def film(spark: SparkSession, d: str) -> DataFrame:
+    return make_film(spark, d)

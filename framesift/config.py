@@ -33,6 +33,9 @@ class Plan:
     least_photo_seconds: float = 2.0
     photo_slot: float = 3.0
     video_slot: float = 2.0
+    photo_range: tuple[float, float] = (2.6, 4.6)
+    video_range: tuple[float, float] = (1.8, 5.0)
+    title_beats_share: float = 0.12
     title_seconds: float = 2.5
     title_share: float = 0.18
     video_share: float = 0.32

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import count
 
 import pandas as pd
@@ -24,12 +25,12 @@ def burst_cap(items: DataFrame, cap: int = 2, bucket_s: int = 60, by: tuple[str,
     return kept.withColumnRenamed("__n", rank) if rank else kept.drop("__n")
 
 
-def near_pairs(hashes: DataFrame, most: int) -> DataFrame:
-    """(a, b, distance) of rows (id, hash) within ``most`` of 64 bits: they share one of most + 1 bands, an equi-join; pairs of several bands count once."""
+def near_pairs(hashes: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, distance) of rows (id, hash) of one group within ``most`` of 64 bits: they share one of most + 1 bands, an equi-join; pairs of several bands count once."""
     n = most + 1
     cut = [64 * i // n for i in range(n + 1)]
     bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", cut[i]).bitwiseAND((1 << (cut[i + 1] - cut[i])) - 1).alias("v")) for i in range(n)))
-    x = hashes.withColumn("k", F.explode(bands)).select("k", "id", "hash")
+    x = hashes.select(F.explode(bands).alias("k"), *by, "id", "hash").select(F.struct("k", *by).alias("k"), "id", "hash")
     a, b = x.toDF("k", "a", "ha"), x.toDF("k", "b", "hb")
     return a.join(b, "k").where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
 
@@ -56,8 +57,10 @@ def settle(frames):
     yield pd.DataFrame({"id": list(left), "kept": [kept[i] for i in left]})
 
 
-def greedy_dedupe(items: DataFrame, most: int = Analysis().hamming) -> DataFrame:
-    """Items (id, hash, score) kept when, by falling score, none kept earlier is within ``most`` bits.
+def greedy_dedupe(items: DataFrame, most: int = Analysis().hamming, by: tuple[str, ...] = ()) -> DataFrame:
+    """Items (id, hash, score) kept when, by falling score, none of their group kept earlier is within ``most`` bits; ids are of one item each.
+
+    Of equal hashes only the first can stay, so each counts once in the search.
 
     Rounds settle the items whose earlier neighbours are all settled: one with
     a kept neighbour goes, one whose neighbours are all gone stays; equal to
@@ -67,8 +70,9 @@ def greedy_dedupe(items: DataFrame, most: int = Analysis().hamming) -> DataFrame
     """
     from ..sources.shared import cut_lineage
 
-    order = items.select("id", "hash", "score").where("hash <> 0")
-    edges = near_pairs(order, most).select("a", "b")
+    first = F.row_number().over(Window.partitionBy(*by, "hash").orderBy(F.col("score").desc(), "id"))
+    order = cut_lineage(items.select(*by, "id", "hash", "score").where("hash <> 0").withColumn("__n", first).where("__n = 1").drop("__n"))
+    edges = near_pairs(order, most, by).select("a", "b")
     s = order.select("id", "score")
     both = edges.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     a_first = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
@@ -90,23 +94,23 @@ def greedy_dedupe(items: DataFrame, most: int = Analysis().hamming) -> DataFrame
     return items.join(state.where("kept").select("id"), "id", "left_semi")
 
 
-def largest_remainder(rows: DataFrame, total: int, by: list[str], weight: str = "weight", key: str = "key") -> DataFrame:
-    """Whole units in proportion to weights, summing to ``total`` per group: floors, then one more for the largest fractions, ties to the least key."""
-    g = Window.partitionBy(*by)
+def largest_remainder(rows: DataFrame, total: int | Column, by: list[str], weight: str = "weight", key: str = "key") -> DataFrame:
+    """Whole units in proportion to weights, summing to ``total`` (a number or a column, one value a group): floors, then one more for the largest fractions, ties to the least key."""
+    g, total = Window.partitionBy(*by), F.lit(total) if isinstance(total, int) else total
     share = F.col(weight) / F.sum(weight).over(g) * total
-    x = rows.withColumn("__s", F.when(F.sum(weight).over(g) > 0, share).otherwise(F.lit(float(total)) / F.count("*").over(g)))
+    x = rows.withColumn("__s", F.when(F.sum(weight).over(g) > 0, share).otherwise(total.cast("double") / F.count("*").over(g)))
     x = x.withColumn("units", F.floor("__s")).withColumn("__r", F.row_number().over(g.orderBy((F.col("__s") - F.floor("__s")).desc(), key)))
     return x.withColumn("units", F.col("units") + (F.col("__r") <= total - F.sum("units").over(g)).cast("bigint")).drop("__s", "__r")
 
 
-def bounded_units(rows: DataFrame, total: int, by: list[str], key: str = "key") -> DataFrame:
+def bounded_units(rows: DataFrame, total: int | Column, by: list[str], key: str = "key") -> DataFrame:
     """Whole units (want, low, high given) that sum to ``total`` per group where the bounds allow: the clamped remainder shares, then single units moved by need.
 
     Lows over the total stay low, highs under it stay high. Missing units go to
     the rows furthest below their want, spare ones come from those furthest
     above: each possible unit is a row, ranked once per group, so no loop.
     """
-    g = Window.partitionBy(*by)
+    g, total = Window.partitionBy(*by), F.lit(total) if isinstance(total, int) else total
     x = largest_remainder(rows, total, by).withColumn("high", F.greatest("low", "high"))
     x = x.withColumn("want", F.col("weight") / F.sum("weight").over(g) * total).withColumn("out", F.greatest("low", F.least("high", "units")))
     x = x.withColumn("miss", total - F.sum("out").over(g)).withColumn("most", F.least(F.abs("miss"), 4 * F.count("*").over(g) + 64))
@@ -144,6 +148,48 @@ def snap_frames(slots: DataFrame, bpm: float, fps: int, by: list[str], order: li
     return x.withColumn("frames", F.col("frame") - F.coalesce(F.lag("frame").over(w), F.lit(0)))
 
 
+def title_plan(slots: DataFrame, by: list[str], plan: Plan, n: Column, titles: Column) -> dict[str, Column]:
+    """Beats of a list of ``n`` slots with so many titles: of a title (per_title) and of all others together (content)."""
+    spb = 60.0 / plan.bpm
+    total = F.greatest(n, F.lit(round(plan.target_seconds / spb)))
+    share = F.floor(total * plan.title_beats_share / F.greatest(titles, F.lit(1)))
+    each = F.greatest(F.lit(2), F.least(F.lit(round(plan.title_seconds / spb)), share))
+    return {"per_title": each, "content": F.greatest(n - titles, total - each * titles)}
+
+
+def slot_bounds(slots: DataFrame, plan: Plan = Plan()) -> DataFrame:
+    """Slots (kind, footage: null for photos) with low and high, the beats each may last: by its kind, and by a clip's footage."""
+    spb, video = 60.0 / plan.bpm, F.col("kind") == "video"
+    low = F.when(video, max(1, math.ceil(plan.video_range[0] / spb))).otherwise(max(1, math.ceil(plan.photo_range[0] / spb)))
+    most = F.greatest(low, F.when(video, math.floor(plan.video_range[1] / spb)).otherwise(math.floor(plan.photo_range[1] / spb)))
+    seen = F.when(F.col("footage").isNotNull(), F.greatest(F.lit(1), F.least(most, F.floor(F.col("footage") / spb)))).otherwise(most)
+    return slots.withColumn("low", low.cast("bigint")).withColumn("high", F.greatest("low", seen.cast("bigint")))
+
+
+def shed_weakest(slots: DataFrame, by: list[str], plan: Plan = Plan(), most: int = 64) -> DataFrame:
+    """Slots (pos, is_title, score, low, high) without the fewest weakest whose going lets a list end by 1.02 of its target: at most ``most``, and three that are no titles stay.
+
+    Dropping one at a time and timing again comes to this: after k drops the
+    list lasts as long as its titles and the least its other slots need, or as
+    the beats there are, so all k are judged at once from running sums.
+    """
+    spb, g = 60.0 / plan.bpm, Window.partitionBy(*by)
+    plain = ~F.col("is_title")
+    rank = F.row_number().over(g.orderBy("is_title", "score", "pos"))
+    x = slots.withColumn("__k", F.when(plain, rank)).withColumns({"__n": F.count_if(plain).over(g), "__t": F.count_if("is_title").over(g)})
+    stays = g.orderBy(F.col("__k").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
+    content = lambda c: F.coalesce(F.sum(F.when(plain, F.col(c))).over(stays), F.lit(0))  # noqa: E731  of this one and all stronger ones
+    x = x.withColumns({"__low": content("low"), "__high": content("high")})
+    gone = F.col("__k") - 1
+    left = F.col("__n") - gone
+    beats = title_plan(x, by, plan, left + F.col("__t"), F.col("__t"))
+    lasts = F.col("__t") * beats["per_title"] + F.greatest("__low", F.least(beats["content"], "__high"))
+    fits = F.bround(lasts * (spb * plan.fps)) / plan.fps <= plan.target_seconds * 1.02 + 0.05
+    stop = fits | (gone >= most) | (left <= 3)
+    drops = F.min(F.when(F.col("__k").isNotNull() & stop, gone)).over(g)
+    return x.withColumn("__drop", drops).where(F.col("__k").isNull() | (F.col("__k") > F.col("__drop"))).drop("__k", "__n", "__t", "__low", "__high", "__drop")
+
+
 def last_residue(slots: DataFrame, target: Column, bpm: float, fps: int, by: list[str]) -> DataFrame:
     """Snapped slots (frame, frames) whose last takes up what is missing to the target in seconds, or is over, if that is half a beat and a frame at most."""
     last = F.max("frame").over(Window.partitionBy(*by))
@@ -158,12 +204,13 @@ def merge_pairs(slots: DataFrame, by: list[str], order: str = "pos") -> DataFram
     return slots.groupBy(*by, "leader").agg(pair, F.sum("beats").alias("beats"), F.sum("seconds").alias("seconds"))
 
 
-def need_quotas(items: DataFrame, by: list[str], plan: Plan = Plan()) -> DataFrame:
-    """(by, chapter, quota): a chapter's share of its group's material, by the time its items need, of 0.7 of the target; one photo's time at least."""
+def need_quotas(items: DataFrame, by: list[str], plan: Plan = Plan(), budget: str | None = None) -> DataFrame:
+    """(by, chapter, quota): a chapter's share of its group's material, by the time its items need, of 0.7 of the target, or of the group's ``budget``; one photo's time at least."""
     need = F.when(F.col("kind") == "video", F.lit(plan.video_slot)).otherwise(F.lit(plan.photo_slot))
-    size = items.groupBy(*by, "chapter").agg(F.sum(need).alias("__a"))
+    target = F.max(F.col(budget) if budget else F.lit(plan.target_seconds))
+    size = items.groupBy(*by, "chapter").agg(F.sum(need).alias("__a"), target.alias("__t"))
     share = F.col("__a") / F.sum("__a").over(Window.partitionBy(*by))
-    return size.select(*by, "chapter", F.greatest(F.lit(plan.photo_slot), share * plan.quota_share * plan.target_seconds).alias("quota"))
+    return size.select(*by, "chapter", F.greatest(F.lit(plan.photo_slot), share * plan.quota_share * F.col("__t")).alias("quota"))
 
 
 def two_up(slots: DataFrame, by: list[str], order: str = "pos") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +12,8 @@ from ..config import Plan
 from .choose import burst_cap, need_quotas
 
 
-def greedy_fill(items: DataFrame, by: list[str], plan: Plan = Plan()) -> DataFrame:
-    """Items (item_id, chapter, kind, seconds, score) chosen for each group's budget, with ``pick``, their place in the choice.
+def greedy_fill(items: DataFrame, by: list[str], plan: Plan = Plan(), budget: str | None = None) -> DataFrame:
+    """Items (item_id, chapter, kind, seconds, score) chosen for each group's budget (the plan's target, or a column's value), with ``pick``, their place in the choice.
 
     Best score first, ties to the least id: videos up to their floor; then each
     chapter in turn until its quota would be passed; then whatever still fits.
@@ -24,16 +24,18 @@ def greedy_fill(items: DataFrame, by: list[str], plan: Plan = Plan()) -> DataFra
     only the best ``4 + budget / need`` can be taken: others go before the one
     ordered pass over a group, whose size is thus bounded by its chapters.
     """
-    photo, video, budget = plan.photo_slot, plan.video_slot, plan.target_seconds
+    photo, video = plan.photo_slot, plan.video_slot
+    seconds = F.col(budget) if budget else F.lit(plan.target_seconds)
     need = F.when(F.col("kind") == "video", F.lit(video)).otherwise(F.lit(photo))
     able = items.where((F.col("kind") != "video") | (F.col("seconds") >= video - 1e-6)).withColumn("need", need)
-    quota = need_quotas(able, by, plan)
+    quota = need_quotas(able, by, plan, budget)
     rank = F.row_number().over(Window.partitionBy(*by, "chapter", "kind").orderBy(F.col("score").desc(), "item_id"))
-    most = F.when(F.col("kind") == "video", 4 + math.ceil(budget / video)).otherwise(4 + math.ceil(budget / photo))
+    most = 4 + F.ceil(seconds / F.col("need"))
     best = able.withColumn("__r", rank).where(F.col("__r") <= most).join(quota, [*by, "chapter"])
-    floor = max(1, round(plan.video_share * budget / photo))
 
     def choose(rows):
+        budget = rows["budget"].iloc[0]
+        floor = max(1, round(plan.video_share * budget / photo))
         rows = rows.sort_values(["score", "item_id"], ascending=[False, True], kind="stable")
         ids, needs = rows["item_id"].tolist(), rows["need"].tolist()
         picks: dict[int, int] = {}
@@ -70,19 +72,23 @@ def greedy_fill(items: DataFrame, by: list[str], plan: Plan = Plan()) -> DataFra
 
     types = dict(items.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in [*by, "item_id", "chapter", "kind"]) + ", need double, pick long"
-    return best.select(*by, "item_id", "chapter", "kind", "score", "need", "quota").groupBy(*by).applyInPandas(choose, schema)
+    return best.select(*by, "item_id", "chapter", "kind", "score", "need", "quota", seconds.cast("double").alias("budget")).groupBy(*by).applyInPandas(choose, schema)
 
 
-def fill_ladder(items: DataFrame, plan: Plan = Plan()) -> DataFrame:
+def fill_ladder(items: DataFrame, plan: Plan = Plan(), budget: str | None = None, between: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Each device's choice under the tightest per-minute cap (1, 2, 4 or 8 times the plan's) that fills 0.97 of the budget, else the loosest.
 
-    All steps are filled in one job, as groups of their own.
+    All steps are filled in one job, as groups (device, cap) of their own;
+    ``between`` may thin each step's candidates first.
     """
     caps = [plan.per_minute * k for k in (1, 2, 4, 8)]
     ranked = burst_cap(items, caps[-1], rank="minute_rank")
     steps = ranked.withColumn("cap", F.explode(F.array(*map(F.lit, caps)))).where(F.col("us").isNull() | (F.col("minute_rank") <= F.col("cap")))
-    chosen = greedy_fill(steps, ["device", "cap"], plan)
-    least = min(plan.photo_slot, plan.video_slot)
-    full = F.count("*").over(Window.partitionBy("device", "cap")) * least >= 0.97 * plan.target_seconds
+    steps = between(steps) if between else steps
+    chosen = greedy_fill(steps, ["device", "cap"], plan, budget)
+    least, target = min(plan.photo_slot, plan.video_slot), F.lit(plan.target_seconds)
+    if budget:
+        chosen, target = chosen.join(steps.groupBy("device").agg(F.max(budget).alias("__b")), "device"), F.col("__b")
+    full = F.count("*").over(Window.partitionBy("device", "cap")) * least >= 0.97 * target
     told = chosen.withColumn("__full", full).withColumn("__cap", F.coalesce(F.min(F.when(F.col("__full"), F.col("cap"))).over(Window.partitionBy("device")), F.lit(caps[-1])))
-    return told.where("cap = __cap").drop("__full", "__cap")
+    return told.where("cap = __cap").drop("__full", "__cap", "__b")
