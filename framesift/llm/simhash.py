@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut_lineage, map_texts, space_words
+from .common import cut_batches, cut_lineage, map_texts, space_words, with_ids
 
 SEED = 42
 WIDE_PIVOTS = 12
@@ -129,11 +129,44 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
+def near_masks(radius: int) -> list[int]:
+    """All patterns of one to ``radius`` of 64 bits."""
+    return [sum(1 << b for b in bits) for r in range(1, radius + 1) for bits in combinations(range(64), r)]
+
+
+def large_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one bucket's rising distinct fingerprints, by looking up every fingerprint within the radius of each: linear in the bucket."""
+    root = np.arange(len(fp))
+    for mask in near_masks(radius):
+        other = fp ^ np.uint64(mask)
+        at = np.minimum(np.searchsorted(fp, other), len(fp) - 1)
+        found = np.flatnonzero((fp[at] == other) & (other > fp))
+        if len(found):
+            root = forest(np.concatenate([np.arange(len(fp)), found]), np.concatenate([root, at[found]]), len(fp))
+    at = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[at], fp[root[at]]
+
+
 def run_links(fp: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (fingerprint, smallest linked fingerprint index's fingerprint) that connect what is linked inside each run of equal ``run`` values."""
+    """Pairs (fingerprint, smallest linked fingerprint index's fingerprint) that connect what is linked inside each run of equal ``run`` values.
+
+    Runs of more fingerprints than there are patterns of ``radius`` bits are
+    searched by these patterns, others lag by lag; links are folded into the
+    forest as they come.
+    """
+    out_a, out_b = [], []
+    starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+    sizes = np.diff(np.append(starts, len(run)))
+    large = sizes > 2 * len(near_masks(radius)) if len(run) else sizes > 0
+    for at, size in zip(starts[large], sizes[large]):
+        a, b = large_links(np.unique(fp[at : at + size]), radius)
+        out_a.append(a)
+        out_b.append(b)
+    small = np.repeat(~large, sizes)
+    fp, run = fp[small], run[small]
     n, wide = len(fp), wide_references()
     table = np.stack([np.bitwise_count(fp ^ r).astype(np.int8) for r in wide])
-    left, right = [], []
+    left, right, held = [np.arange(n)], [np.arange(n)], 0
     live, lag = np.arange(n), 1
     while True:
         live = live[live + lag < n]
@@ -146,13 +179,14 @@ def run_links(fp: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray,
         near = near[np.bitwise_count(fp[near] ^ fp[near + lag]) <= radius]
         left.append(near)
         right.append(near + lag)
+        held += len(near)
+        if held > 4 * n + 100_000:
+            root = forest(np.concatenate(left), np.concatenate(right), n)
+            left, right, held = [np.arange(n)], [root], 0
         lag += 1
-    if not left:
-        return fp[:0], fp[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    root = forest(a, b, n)
+    root = forest(np.concatenate(left), np.concatenate(right), n)
     at = np.flatnonzero(root != np.arange(n))
-    return fp[at], fp[root[at]]
+    return np.concatenate([*out_a, fp[at]]), np.concatenate([*out_b, fp[root[at]]])
 
 
 def links(distinct: DataFrame, radius: int = 2, blocks: int = 5) -> DataFrame:
@@ -187,19 +221,36 @@ def _with_end(batches):
     yield None
 
 
+def task_forest(edges: DataFrame) -> DataFrame:
+    """Links (a, b) with the same components and no more links than nodes in each task: paths inside a task become stars."""
+
+    def run(batches):
+        parts = [np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]) for batch in batches]
+        if parts and (pairs := np.concatenate(parts, axis=1)).shape[1]:
+            names, at = np.unique(pairs, return_inverse=True)
+            at = at.reshape(pairs.shape)
+            root = forest(at[0], at[1], len(names))
+            low = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.RecordBatch.from_arrays([pa.array(names[root[low]]), pa.array(names[low])], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node that each node of the links (a, b) reaches.
 
-    Each round takes the least label around a node and then the label of that
-    label, so paths halve. Labels are written to the shared checkpoint folder
-    each round; only the count of changes comes to the driver.
+    Links inside a task are made stars first. Each round takes the least label
+    around a node and then the label of that label, so paths halve. Labels are
+    written to the shared checkpoint folder each round; only the count of
+    changes comes to the driver.
     """
-    both = cut_lineage(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
+    stars = cut_lineage(task_forest(edges))
+    both = stars.union(stars.select("b", "a")).toDF("node", "other")
     labels = cut_lineage(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
     for _ in range(max_rounds):
-        around = both.join(labels.toDF("other", "around"), "other").groupBy("node").agg(F.min("around").alias("around"))
-        low = labels.join(around, "node").select("node", F.col("label").alias("old"), F.least("label", "around").alias("label"))
-        up = labels.toDF("label", "above")
+        told = both.join(labels.toDF("other", "label"), "other").select("node", "label", F.lit(None).cast("long").alias("old"))
+        low = told.union(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        up = low.select(F.col("node").alias("label"), F.col("label").alias("above"))
         new = cut_lineage(low.join(up, "label").select("node", "old", F.least("label", "above").alias("label")))
         labels, changed = new.select("node", "label"), new.where("label <> old").limit(1).count()
         if not changed:
@@ -224,12 +275,14 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(member, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Keys a set has for its first links (each of the two least hashes of one of so many bins), and bits of its parity map.
-BINS, PARITY_BITS = 16, 256
-#: Sets spread into entries at once; entries of a batch, which are narrow rows.
-SETS_AT_ONCE, ENTRY_ROWS = 64, 20_000
-#: Nodes of a block whose sets are compared in one row with those of another, and such rows at once.
-BLOCK, BLOCK_ROWS = 32, 16
+#: Bins of a large set's keys (the two least hashes of each), and bits of a set's map.
+BINS, MAP_BITS = 16, 256
+#: Sets of fewer hashes have a parity map and their least hashes as keys, others a SimHash of MAP_BITS; pairs at J = similarity lie this many deviations within the SimHash bound.
+SMALL_SET, SLACK = 64, 4.5
+#: Runs of one key up to this size are compared whole, larger ones by neighbours in turning orders; runs beyond the second size are cut by the leading bits of the order.
+WHOLE_RUN, SORTED_RUN = 64, 4096
+#: Orders of a turn; share of the first turn's links that is few.
+ORDERS, FEW_NEW = 8, 0.01
 
 
 def shingle_set(text: str, size: int) -> np.ndarray:
@@ -249,47 +302,95 @@ def prefix_length(n: int, similarity: float) -> int:
 
 def parity_map(hashes: np.ndarray) -> bytes:
     """Bits that an odd number of hashes fall on: two maps differ in no more bits than the sets in members."""
-    odd = np.bincount((hashes >> np.uint64(8)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    odd = np.bincount((hashes >> np.uint64(8)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def bin_keys(hashes: np.ndarray) -> np.ndarray:
-    """Keys of the bins that have two hashes (of all hashes for small sets): a mixing of the two least."""
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """SimHash of MAP_BITS bits: majorities over the hashes and over three mixings of them."""
+    out = []
+    for k in range(MAP_BITS // 64):
+        mixed = hashes
+        if k:
+            mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            mixed ^= mixed >> np.uint64(32)
+        out.append(majority(bit_counts(mixed), len(hashes)).to_bytes(8, "little"))
+    return b"".join(out)
+
+
+def set_map(hashes: np.ndarray) -> bytes:
+    return parity_map(hashes) if len(hashes) < SMALL_SET else wide_fingerprint(hashes)
+
+
+def far(similarity: float) -> float:
+    """SimHash bits beyond which sets are not this similar: the expected number of differing bits at that similarity (the angle of equally large sets, the widest) and SLACK deviations."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return MAP_BITS * share + SLACK * (MAP_BITS * share * (1 - share)) ** 0.5
+
+
+def set_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a set. Small sets, and those that may be similar to one, have their least hashes: similar sets share one. Large sets have a mixing of the two least hashes of each of BINS: sets at similarity 0.8 share each with a chance of 0.64."""
+    n = len(hashes)
+    least = hashes[: prefix_length(n, similarity)] if n * similarity < SMALL_SET else hashes[:0]
+    if n < SMALL_SET:
+        return least
     bins = (hashes & np.uint64(BINS - 1)).astype(np.int64)
     order = np.argsort(bins, kind="stable")  # hashes rise inside each bin
-    at = np.flatnonzero(np.append(True, bins[order][1:] != bins[order][:-1])) if len(order) else order
-    at = at[(at + 1 < len(order))]
+    at = np.flatnonzero(np.append(True, bins[order][1:] != bins[order][:-1]))
+    at = at[at + 1 < n]
     at = at[bins[order[at]] == bins[order[at + 1]]]
-    if not len(at):
-        return hashes[:1]
-    return (hashes[order[at]] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[order[at + 1]]
+    return np.concatenate([least, (hashes[order[at]] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[order[at + 1]]])
 
 
-def cross_pairs(key: np.ndarray, node: np.ndarray, part: np.ndarray, n: np.ndarray, left: np.ndarray, maps: np.ndarray, similarity: float):
-    """Row pairs (i, j) of each lag, of one key and different parts, that may be this similar. Rows come by key.
+def alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, maps: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows may be this similar, by their sizes and maps: what small sets do not share bounds the bits in which their maps differ; large sets whose fingerprints differ in too many bits are discarded."""
+    a, b = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
+    near = np.where(b < SMALL_SET, differ * (1 + similarity) <= (1 - similarity) * (a + b) + 1e-6, (a < SMALL_SET) | (differ <= far(similarity)))
+    return near & (a >= similarity * b - 1e-9)
 
-    ``left`` counts a set's hashes from the key's on. Of the first hash that
-    two similar sets share, this many and no more can be shared (left); what
-    they do not share bounds the bits in which their maps differ.
-    """
+
+def turned(maps: np.ndarray, turn: int) -> np.ndarray:
+    """The maps' words in another order, bits rotated: each turn sorts by other bits first."""
+    words = np.roll(maps, turn, axis=1)
+    by = np.uint64(turn * 23 % 64)
+    return (words << by | words >> (np.uint64(64) - by)) if by else words
+
+
+def run_pairs(key: np.ndarray, part: np.ndarray, n: np.ndarray, maps: np.ndarray, similarity: float, turn: int):
+    """Row pairs (i, j) of one key and different parts that may be this similar; rows come by key. Runs of up to WHOLE_RUN are compared whole in turn 0; of larger ones each row has at most one pair, the nearest of those that stand close to it in the turn's orders."""
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
-    live = np.flatnonzero(np.repeat(mixed, np.diff(np.append(starts, len(key)))))
-    lag = 1
-    while True:
-        live = live[live + lag < len(key)]
-        live = live[key[live] == key[live + lag]]
-        if not len(live):
-            return
-        other = live + lag
-        total = n[live] + n[other]
-        near = (part[live] != part[other]) & (np.minimum(left[live], left[other]) * (1 + similarity) >= similarity * total - 1e-6)
-        a, b, total = live[near], other[near], total[near]
-        differ = np.bitwise_count(maps[a] ^ maps[b]).sum(1, dtype=np.int64)
-        near = differ * (1 + similarity) <= (1 - similarity) * total + 1e-6
-        if near.any():
-            yield a[near], b[near]
-        lag += 1
+    size = np.diff(np.append(starts, len(key)))
+    of = np.repeat(size, size)
+    if turn == 0:
+        live, lag = np.flatnonzero((of > 1) & (of <= WHOLE_RUN)), 1
+        while True:
+            live = live[live + lag < len(key)]
+            live = live[key[live] == key[live + lag]]
+            if not len(live):
+                break
+            i = live[part[live] != part[live + lag]]
+            i = i[alike(i, i + lag, n, maps, similarity)]
+            yield i, i + lag
+            lag += 1
+    large = np.flatnonzero(of > WHOLE_RUN)
+    nearest, bits = np.full(len(key), -1, np.int64), np.full(len(key), 1 << 20, np.int64)
+    for step in range(ORDERS if len(large) else 0):
+        words = turned(maps[large], ORDERS * turn + step)
+        order = large[np.lexsort((words[:, 1], words[:, 0], key[large]))]
+        for lag in (1, 2):
+            i, j = order[:-lag], order[lag:]
+            ok = (key[i] == key[j]) & (part[i] != part[j])
+            i, j = i[ok], j[ok]
+            ok = alike(i, j, n, maps, similarity)
+            i, j = i[ok], j[ok]
+            differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
+            for x, y in ((i, j), (j, i)):
+                less = differ < bits[x]
+                nearest[x[less]], bits[x[less]] = y[less], differ[less]
+    i = np.flatnonzero(nearest >= 0)
+    yield i, nearest[i]
 
 
 def whole_runs(batches):
@@ -308,88 +409,52 @@ def whole_runs(batches):
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets (node, hashes) have this Jaccard similarity at least, counted.
-
-    What pairs connect is cut into blocks of nodes, and a set goes once to
-    each pair of blocks that has a pair of it, not once to each pair.
-    """
+    """The pairs (a, b, pa, pb) whose sets (node, hashes) have this Jaccard similarity at least, counted on the whole sets."""
 
     def count(batches):
-        for batch in batches:
-            a, b = [], []
-            for links, nodes, hashes in zip(*(batch.column(k) for k in range(3))):
-                ends = np.array([(x["a"], x["b"]) for x in links.as_py()], np.int64)
-                of = {n: h.values.to_numpy() for n, h in zip(nodes.as_py(), hashes)}
-                for x, y in ends.tolist():
-                    both = len(np.intersect1d(of[x], of[y], assume_unique=True))
-                    if both >= similarity * (len(of[x]) + len(of[y]) - both) - 1e-9:
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    inside = Window.partitionBy("label").orderBy("node")
-    placed = cut_lineage(component_labels(pairs).withColumn("block", F.floor((F.row_number().over(inside) - 1) / BLOCK)))
-    dealt = pairs.join(placed.toDF("a", "label", "x"), "a").join(placed.select(F.col("node").alias("b"), F.col("block").alias("y")), "b")
-    group = ["label", "x", "y"]
-    links = dealt.groupBy(group).agg(F.collect_list(F.struct("a", "b")).alias("links"))
-    sent = dealt.select(*group, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
-    sent = sent.groupBy(group).agg(F.collect_list(F.struct("node", "hashes")).alias("s"))
-    return links.join(sent, group).select("links", "s.node", "s.hashes").mapInArrow(count, "a long, b long")
+        for batch in cut_batches(batches, 256):
+            keep = []
+            for left, right in zip(batch.column(4), batch.column(5)):
+                left, right = left.values.to_numpy(), right.values.to_numpy()
+                both = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(both >= similarity * (len(left) + len(right) - both) - 1e-9)
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(4)], names=["a", "b", "pa", "pb"])
+
+    dealt = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "pa", "pb", "x", "y")
+    return dealt.mapInArrow(count, "a long, b long, pa long, pb long")
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, class_id): the smallest id of each row's near-duplicate class, by sets of shingles of ``shingle`` words.
 
-    Texts link when the Jaccard similarity of their sets is ``similarity`` or
-    more; classes are what links connect, and no such pair is missed: similar
-    sets share one of their least hashes (prefix filter), and every candidate
-    is verified by its whole sets. First links, to the first of sets that
-    share two hashes, are verified before, so pairs inside a part they
-    connect are no candidates and a large group costs no pairs. Texts of
-    equal sets, wordless ones too, cost one entry. Rows without an id have no
-    class and are left out; repeated rows are kept.
+    Texts link when the Jaccard similarity of their whole sets, counted, is
+    ``similarity`` or more; classes are what links connect. Candidates share a
+    key (``set_keys``: all similar small sets do, similar large sets but one
+    pair in ten million) and pass the bound of their maps (SimHash fingerprints
+    of large sets, SLACK deviations beyond what the similarity lets expect).
+    Runs of a key of more than WHOLE_RUN sets are not compared pair by pair but
+    by neighbours in orders of the maps' bits, which turn until few links are
+    new (FEW_NEW of the first turn's), so a large group costs links, not pairs; two similar sets in such a run
+    stay apart only if neither they nor a chain of similar sets between them
+    ever stand close. Texts of equal sets, wordless ones too, cost one entry.
+    Rows without an id have no class and are left out; repeated rows are kept;
+    an empty table gives an empty one; other columns play no part.
     """
+    longs = T.ArrayType(T.LongType())
 
     def make():
         def run(texts):
-            out = {k: [] for k in ("node", "n", "least", "parity", "bins")}
+            out = {k: [] for k in ("node", "n", "map", "keys")}
             for h in (shingle_set(t, shingle) for t in texts):
                 out["node"].append(np.uint64(set_id(h)).astype(np.int64))
                 out["n"].append(len(h))
-                out["least"].append(h[: prefix_length(len(h), similarity)].view(np.int64))
-                out["parity"].append(parity_map(h))
-                out["bins"].append(bin_keys(h).view(np.int64))
+                out["map"].append(set_map(h))
+                out["keys"].append(set_keys(h, similarity).view(np.int64))
             return out
 
         return run
 
-    def spread(batches):
-        seen: set[int] = set()  # copies cost one entry a task
-        for batch in (b.slice(k, SETS_AT_ONCE) for b in batches for k in range(0, b.num_rows, SETS_AT_ONCE)):
-            batch = batch.filter(pa.array([x not in seen and not seen.add(x) for x in batch.column(0).to_pylist()], pa.bool_()))
-            node, part, n, least, parity = (batch.column(k) for k in range(5))
-            sizes = least.value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            left = n.to_numpy(zero_copy_only=False)[row] - place
-            row = pa.array(row)
-            yield pa.RecordBatch.from_arrays([least.flatten(), node.take(row), part.take(row), n.take(row), pa.array(left.astype(np.int32)), parity.take(row)], names=["key", "node", "part", "n", "left", "parity"])
-
-    def search(batches):
-        for table in whole_runs(batches):
-            key, node, part, n, left = (table.column(k).to_numpy() for k in range(5))
-            maps = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
-            for i, j in cross_pairs(key, node, part, n.astype(np.int64), left.astype(np.int64), maps, similarity):
-                a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    longs = T.ArrayType(T.LongType())
-    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("least", longs), T.StructField("parity", T.BinaryType()), T.StructField("bins", longs)]
-    docs = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    rows = cut_lineage(map_texts(docs, "text", make, fields, ["id"]))
-    members = rows.select("id", "node")
-    firsts = cut_lineage(members.groupBy("node").agg(F.min("id").alias("first")))
-
     def hashes_of():
         def run(texts):
             sets = [shingle_set(t, shingle) for t in texts]
@@ -397,34 +462,73 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
 
         return run
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        batch_rows = df.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ENTRY_ROWS))
-        pairs = cut_lineage(pairs.distinct())
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = firsts.join(nodes, "node").select(F.col("first").alias("id")).distinct()
-        made = map_texts(docs.join(ids, "id"), "text", hashes_of, [T.StructField("node", T.LongType()), T.StructField("hashes", longs)], [])
-        sets = cut_lineage(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
-        alike = cut_lineage(similar(pairs, sets, similarity))
-        df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
-        return alike
-
-    binned = rows.select("node", F.explode("bins").alias("key")).distinct()
-    heads = binned.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("m")).where("m > 1").select("key", "a")
-    near = verified(binned.join(heads, "key").where("a <> node").select("a", F.col("node").alias("b")))
-    parts = component_labels(near).toDF("node", "part")
-    entries = rows.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part"), "n", "least", "parity").mapInArrow(spread, "key long, node long, part long, n int, left int, parity binary")
-    more = verified(entries.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long"))
-    labels = component_labels(near.union(more))
-    named = firsts.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
+    def cut(turn):
+        """Keys of runs beyond SORTED_RUN with the leading bits of the turn's order."""
+
+        def run(batches):
+            for batch in batches:
+                key, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                maps = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
+                bits = np.ceil(np.log2(np.maximum(1, m / SORTED_RUN))).astype(np.uint64)
+                lead = np.where(bits > 0, turned(maps, ORDERS * turn)[:, 0] >> (np.uint64(64) - np.maximum(bits, np.uint64(1))) | np.uint64(1) << bits, np.uint64(0))
+                key = (key.view(np.uint64) ^ lead * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns[2:]], names=["key", "node", "part", "n", "map"])
+
+        return run
+
+    def search(turn):
+        def run(batches):
+            for table in whole_runs(batches):
+                key, node, part, n = (table.column(k).to_numpy() for k in range(4))
+                maps = np.frombuffer(b"".join(table.column(4).to_pylist()), np.uint64).reshape(len(key), -1)
+                found = [np.stack([node[i], node[j], part[i], part[j]]) for i, j in run_pairs(key, part, n.astype(np.int64), maps, similarity, turn)]
+                pairs = np.concatenate(found, axis=1)
+                turn_round = pairs[0] > pairs[1]
+                pairs[:, turn_round] = pairs[[1, 0, 3, 2]][:, turn_round]
+                pairs = np.unique(pairs, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["a", "b", "pa", "pb"])
+
+        return run
+
+    fields = [T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("map", T.BinaryType()), T.StructField("keys", longs)]
+    docs = df.where(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = cut_lineage(map_texts(docs, "text", make, fields, ["id"]))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("map").alias("map"), F.first("keys").alias("keys")))
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    shared = cut_lineage(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    live = cut_lineage(keyed.join(shared, "key").select("key", "m", "node"))
+    # the sets of all texts that share a key with another
+    met = live.select("node").distinct()
+    ids = nodes.join(met, "node").select(F.col("first").alias("id"))
+    sets = cut_lineage(map_texts(with_ids(docs, "id", ids), "text", hashes_of, [T.StructField("node", T.LongType()), T.StructField("hashes", longs)], []).join(met, "node", "left_semi").dropDuplicates(["node"]))
+    parts, turn, large = live.select("node").distinct().withColumn("part", F.col("node")), 0, F.col("m") > WHOLE_RUN
+    again = live.where(large).limit(1).count() > 0
+    known = nodes.select("node", "n", "map")
+    while True:
+        entries = (live.where(large) if turn else live).join(known.join(parts, "node"), "node").select("key", "m", "node", "part", "n", "map")
+        dealt = entries.mapInArrow(cut(turn), "key long, node long, part long, n int, map binary").repartition("key").sortWithinPartitions("key")
+        pairs = cut_lineage(dealt.mapInArrow(search(turn), "a long, b long, pa long, pb long").distinct())
+        near = cut_lineage(similar(pairs, sets, similarity).select("pa", "pb").distinct())
+        n = near.count()
+        first = n if turn == 0 else first
+        if not n:
+            break
+        joined = component_labels(near.toDF("a", "b")).toDF("part", "label")
+        parts = cut_lineage(parts.join(joined, "part", "left").select("node", F.coalesce("label", "part").alias("part")))
+        if not again or turn and n <= FEW_NEW * first:
+            break
+        turn += 1
+    named = nodes.select("node", "first").join(parts, "node", "left").withColumn("root", F.coalesce("part", "node"))
     classes = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    return members.join(named.join(classes, "root").select("node", "class_id"), "node").select(F.col("id").alias(id_col), "class_id")
+    return rows.select("id", "node").join(named.join(classes, "root").select("node", "class_id"), "node").select(F.col("id").alias(id_col), "class_id")
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows whose id names their near-duplicate class, all columns; rows without an id stay."""
+    """The rows whose id names their near-duplicate class, all columns; rows without an id stay.
+
+    Repeated rows of such an id all stay; an empty table gives an empty one;
+    columns of any names (class_id, too) are kept as they are.
+    """
     classes = near_duplicate_classes(df, id_col, text_col, shingle, similarity)
     gone = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct()
     return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
