@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,23 +39,58 @@ def chapter_summary(items: DataFrame, **kw) -> DataFrame:
     return chapters(items, **kw).groupBy("device", "chapter").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
 
 
+def advance(stop: list | None, at: int, lat: float | None, lon: float | None, least_km: float) -> tuple[list | None, list | None]:
+    """The open stop [number, lat, lon, first, last, n] after one more point, and the stop that the point closes, if any. Points without a place stay in the stop they fall in; before any stop they count nowhere."""
+    if lat is None or lon is None:
+        if stop:
+            stop[4], stop[5] = at, stop[5] + 1
+        return stop, None
+    if stop:
+        a, b = math.radians(stop[1]), math.radians(lat)
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon - stop[2]) / 2) ** 2
+        if 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, h))) <= least_km:
+            n = stop[5]
+            stop[1:] = (stop[1] * n + lat) / (n + 1), (stop[2] * n + lon) / (n + 1), stop[3], at, n + 1
+            return stop, None
+    return [stop[0] + 1 if stop else 0, lat, lon, at, at, 1], stop
+
+
 def stops(items: DataFrame, rules: Trip = Trip()) -> DataFrame:
     """(device, stop, lat, lon, first_us, last_us, n): runs of items within 400 m of the stop's running mean; items without a place join the stop they fall in.
 
-    The mean depends on every earlier decision, so a device is folded in time
-    order; devices run in parallel, and the fold is a JVM higher-order function
-    over the device's own items.
+    The mean depends on every earlier decision, so a device's items pass in
+    time order; only the open stop is carried from one to the next, whatever
+    the number of items, and devices run in parallel. Items without a device
+    are one device; an empty table gives an empty one.
     """
-    r, least = EARTH_KM, rules.stop_metres / 1000
-    seq = items.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("us", "item_id", "lat", "lon"))).alias("seq"))
-    empty = "cast(array() as array<struct<lat:double,lon:double,first_us:bigint,last_us:bigint,n:bigint>>)"
-    dist = f"2 * {r} * asin(sqrt(least(1.0D, pow(sin(radians(x.lat - l.lat) / 2), 2) + cos(radians(l.lat)) * cos(radians(x.lat)) * pow(sin(radians(x.lon - l.lon) / 2), 2))))"
-    last = "element_at(acc, -1)"
-    dist = dist.replace("l.", f"{last}.")
-    joined = f"concat(slice(acc, 1, size(acc) - 1), array(named_struct('lat', if(x.lat is null, {last}.lat, ({last}.lat * {last}.n + x.lat) / ({last}.n + 1)), 'lon', if(x.lat is null, {last}.lon, ({last}.lon * {last}.n + x.lon) / ({last}.n + 1)), 'first_us', {last}.first_us, 'last_us', x.us, 'n', {last}.n + 1)))"
-    fresh = "concat(acc, array(named_struct('lat', x.lat, 'lon', x.lon, 'first_us', x.us, 'last_us', x.us, 'n', 1L)))"
-    fold = f"aggregate(seq, {empty}, (acc, x) -> case when size(acc) = 0 then if(x.lat is null, acc, {fresh}) when x.lat is null or {dist} <= {least} then {joined} else {fresh} end)"
-    return seq.select("device", F.posexplode(F.expr(fold)).alias("stop", "s")).select("device", F.col("stop").cast("bigint").alias("stop"), "s.*")
+    least = rules.stop_metres / 1000
+    names = ["device", "stop", "lat", "lon", "first_us", "last_us", "n"]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        device, stop, begun = None, None, False
+
+        def rows(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+        for batch in batches:
+            out = []
+            for d, us, lat, lon in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if not begun or d != device:
+                    if stop:
+                        out.append((device, *stop))
+                    device, stop, begun = d, None, True
+                stop, closed = advance(stop, us, lat, lon, least)
+                if closed:
+                    out.append((device, *closed))
+            if out:
+                yield rows(out)
+        if stop:
+            yield rows([(device, *stop)])
+
+    points = items.select(F.col("device").cast("long"), F.col("us").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"), "item_id")
+    dealt = points.repartition("device").sortWithinPartitions("device", "us", "item_id")
+    return dealt.select("device", "us", "lat", "lon").mapInArrow(run, "device long, stop long, lat double, lon double, first_us long, last_us long, n long")
 
 
 def visits(found: DataFrame, rules: Trip = Trip()) -> DataFrame:
