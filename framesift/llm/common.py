@@ -37,14 +37,18 @@ def cut_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size:
 BITMAPS = 4096
 
 
-def with_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows whose id (a long) is among ``ids`` (a column id): by bitmaps that go to the rows where they are small, so the rows are not shuffled; by a join where ids lie too far apart for that."""
+def with_ids(df: DataFrame, id_col: str, ids: DataFrame, among: bool = True) -> DataFrame:
+    """The rows whose id (a long) is among ``ids`` (a column id), or, not ``among``, the others, null ids too: by bitmaps that go to the rows where they are small, so the rows are not shuffled; by a join where ids lie too far apart for that."""
     maps = ids.groupBy(F.bitmap_bucket_number("id").alias("__k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("__map"))
     maps = cut_lineage(maps)
+    own = F.col(f"`{id_col}`").cast("long")
     if maps.count() > BITMAPS:
-        return df.join(ids.distinct().withColumnRenamed("id", "__id"), F.col(f"`{id_col}`") == F.col("__id"), "left_semi")
-    bit = F.expr(f"(cast(conv(hex(substring(__map, cast(bitmap_bit_position(`{id_col}`) div 8 + 1 as int), 1)), 16, 10) as int) >> cast(bitmap_bit_position(`{id_col}`) % 8 as int)) & 1")
-    return df.join(F.broadcast(maps), F.bitmap_bucket_number(F.col(f"`{id_col}`")) == F.col("__k")).where(bit == 1).drop("__k", "__map")
+        return df.join(ids.distinct().withColumnRenamed("id", "__id"), own == F.col("__id"), "left_semi" if among else "left_anti")
+    place = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.substring("__map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2
+    joined = df.join(F.broadcast(maps), F.bitmap_bucket_number(own) == F.col("__k"), "inner" if among else "left")
+    return joined.where(F.coalesce(bit, F.lit(0)) == int(among)).drop("__k", "__map")
 
 
 def map_texts(

@@ -17,6 +17,8 @@ from .common import cut_lineage
 SIZE = 13
 #: A benchmark whose windows hold more characters than this is not broadcast but looked up by shuffled joins.
 BROADCAST_CHARS = 16 << 20
+#: Rejected documents up to this number (a few MB of ids and hashes) go out as a broadcast, so that no text is shuffled.
+BROADCAST_ROWS = 200_000
 #: A screen of more grams than this is left out: its hash set would no longer be small in the plan.
 SCREEN_GRAMS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -125,5 +127,7 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that the rule does not reject, all columns; rows of equal id and text go together."""
     found = contamination(docs, benchmark, size, id_col, text_col).where(contaminated(F.col("n_hit"), F.col("n_words")))
-    bad = found.select(F.col(id_col).alias("__i"), F.col("text_key").alias("__t")).distinct()
+    bad = cut_lineage(found.select(F.col(id_col).alias("__i"), F.col("text_key").alias("__t")).distinct())
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__i")) & (F.xxhash64(f"`{text_col}`") == F.col("__t")), "left_anti")

@@ -530,5 +530,5 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     columns of any names (class_id, too) are kept as they are.
     """
     classes = near_duplicate_classes(df, id_col, text_col, shingle, similarity)
-    gone = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    gone = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("id"))
+    return with_ids(df, id_col, gone, among=False)

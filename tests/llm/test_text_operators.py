@@ -283,3 +283,51 @@ def test_pipeline(spark):
     for name, stage in p.STAGES:
         out = stage(spark, empty, d)
         assert out.count() == 0 and (name == "bpe" or out.columns == empty.columns)
+
+
+def test_pipeline_stages_take_nulls_ties_and_repeats(spark):
+    import corpus_pipeline as p
+
+    d = "/root/testdata/sf0.001"
+    names = spark.read.parquet(f"{d}/documents.parquet").columns
+    text = prose(77, 90)
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text, "en", None, None), (3, None, None, None, None), (4, "", "en", "a", 0), (None, text + " more", None, "a", 1), (5, prose(78, 90) + "\n" + "y" * 30_000, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(names)
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, d)
+        ids = sorted((r.doc_id for r in out.collect()), key=str)
+        assert ids == ([1, 1, 3, 5, None] if name == "simhash_near_dedup" else [1, 1, 2, 3, 4, 5, None]), name
+
+
+def test_pipeline_catches_near_copies(spark):
+    from corpus_pipeline import drop_copies
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        sets[r.doc_id] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    label = {i: i for i in first.values()}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    heads, holders, pairs = sorted(label), {}, 0
+    for i in heads:
+        for g in sets[i]:
+            holders.setdefault(g, []).append(i)
+    for i, j in {(i, j) for some in holders.values() for j in some for i in some if i < j}:
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            pairs += 1
+            a, b = sorted((root(i), root(j)))
+            label[b] = a
+    want = {i for i in heads if root(i) == i}
+    got = {r.doc_id for r in drop_copies(spark, docs, "").collect()}
+    gone = set(sets) - want
+    assert pairs and got >= want  # no clean document goes
+    assert len(gone - got) >= 0.98 * len(gone)
