@@ -13,6 +13,7 @@ from .functions import media as M
 from .operators import arrange, choose, intake, series, trip
 from .plans.cut_list import cut_list
 from .plans.film import film as make_film
+from .sources import sinks
 from .sources.tables import ITEMS_SQL, items, table
 
 D = "cast({} as double)".format
@@ -263,7 +264,8 @@ def cache_split(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "documents").withColumn("key", intake.cache_key("v1", "source", "n_chars"))
     cache = files.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("key").distinct()
     done, todo = intake.split_cached(files, cache)
-    return done.select("doc_id", "key", F.lit(True).alias("cached")).union(todo.select("doc_id", "key", F.lit(False)))
+    open_ = todo.select("doc_id", F.lit(False).alias("c")).join(done.select("doc_id"), "doc_id", "left_anti")
+    return files.join(open_, "doc_id", "left").select("doc_id", "key", F.coalesce("c", F.lit(True)).alias("cached"))
 
 
 @query(f"""WITH {ITEMS_SQL}, pl AS (SELECT cast(35 + 0.5 * n_nationkey as double) AS la, cast(135 + 0.5 * n_nationkey as double) AS lo, n_name FROM nation), c AS (SELECT cast(round_even(la * 100, 0) as bigint) AS a, cast(round_even(lo * 100, 0) as bigint) AS b, min(n_name) AS n FROM pl GROUP BY 1, 2)
@@ -375,6 +377,25 @@ def item_or_first_chapter(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+@query(f"""WITH cl AS ({CUTS_SQL}), t AS (SELECT *, coalesce(lag(frame) OVER (PARTITION BY device ORDER BY pos), 0) / cast(30 as double) AS s, item_id % 1000 / cast(1000 as double) AS score FROM cl), u AS (SELECT *, cast(round_even(s, 0) as bigint) AS whole, pos - 1 AS i FROM t)
+  SELECT device, pos, '| ' || pos || ' | ' || whole // 60 || ':' || lpad(cast(whole % 60 AS VARCHAR), 2, '0') || ' | ' || printf('%.2fs', frame / cast(30 as double) - s) || ' | `' || item_id || '` | ' || printf('%.3f', score) || ' | ' || ['in', 'out', 'left', 'right', 'up', 'down', 'still'][cast((5 * i + i // 7) % 7 + 1 AS INTEGER)] || ' |' AS line FROM u""")
+def timeline_report(spark: SparkSession, d: str) -> DataFrame:
+    slots = cut_list(spark, d).withColumn("name", F.concat(F.lit("`"), F.col("item_id").cast("string"), F.lit("`"))).withColumn("score", F.col("item_id") % 1000 / F.lit(1000.0))
+    return sinks.timeline_report(slots, ["device"])
+
+
+@query(f"""{STOPS_SQL} SELECT device, stop, '| ' || stop + 1 || ' | ' || printf('%.2f°N %.2f°E', lat + 0.0002, lon + 0.0002) || ' | ' || n || ' | ' || strftime(to_timestamp(first_us // 1000000) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || ' - ' || strftime(to_timestamp(last_us // 1000000) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || ' |' AS line FROM st""")
+def location_report(spark: SparkSession, d: str) -> DataFrame:
+    label = C.place_label(F.col("lat") + 0.0002, F.col("lon") + 0.0002, F.lit(None).cast("string"))
+    return sinks.location_report(trip.stops(items(spark, d)).withColumn("label", label))
+
+
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, '| `' || item_id || '` | ' || rpad(repeat('#', cast(round_even(score * 18, 0) AS INTEGER)), 18, '.') || ' | ' || printf('%.3f', round(score, 3)) || ' |' AS line FROM items""")
+def top_report(spark: SparkSession, d: str) -> DataFrame:
+    named = items(spark, d).withColumn("name", F.concat(F.lit("`"), F.col("item_id").cast("string"), F.lit("`")))
+    return sinks.top_report(named, "item_id")
+
+
 @query(None)
 def film(spark: SparkSession, d: str) -> DataFrame:
     return make_film(spark, d)
