@@ -39,6 +39,12 @@ def chapter_summary(items: DataFrame, **kw) -> DataFrame:
     return chapters(items, **kw).groupBy("device", "chapter").agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("n"))
 
 
+def distance_km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    """``haversine_km`` of plain numbers, for folds."""
+    h = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+
 def advance(stop: list | None, at: int, lat: float | None, lon: float | None, least_km: float) -> tuple[list | None, list | None]:
     """The open stop [number, lat, lon, first, last, n] after one more point, and the stop that the point closes, if any. Points without a place stay in the stop they fall in; before any stop they count nowhere."""
     if lat is None or lon is None:
@@ -46,68 +52,70 @@ def advance(stop: list | None, at: int, lat: float | None, lon: float | None, le
             stop[4], stop[5] = at, stop[5] + 1
         return stop, None
     if stop:
-        a, b = math.radians(stop[1]), math.radians(lat)
-        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon - stop[2]) / 2) ** 2
-        if 2 * EARTH_KM * math.asin(math.sqrt(min(1.0, h))) <= least_km:
+        if distance_km(stop[1], stop[2], lat, lon) <= least_km:
             n = stop[5]
             stop[1:] = (stop[1] * n + lat) / (n + 1), (stop[2] * n + lon) / (n + 1), stop[3], at, n + 1
             return stop, None
     return [stop[0] + 1 if stop else 0, lat, lon, at, at, 1], stop
 
 
-def stops(items: DataFrame, rules: Trip = Trip()) -> DataFrame:
-    """(device, stop, lat, lon, first_us, last_us, n): runs of items within 400 m of the stop's running mean; items without a place join the stop they fall in.
+def folded(rows: DataFrame, order: list[str], name: str, step) -> DataFrame:
+    """(device, name, lat, lon, first_us, last_us, n) of what ``step(open, *values)`` closes, over each device's rows (device, values ...) in their order.
 
-    The mean depends on every earlier decision, so a device's items pass in
-    time order; only the open stop is carried from one to the next, whatever
-    the number of items, and devices run in parallel. Items without a device
-    are one device; an empty table gives an empty one.
+    One open piece is carried from row to row, whatever their number; devices
+    run in parallel. Rows without a device are one device.
     """
-    least = rules.stop_metres / 1000
-    names = ["device", "stop", "lat", "lon", "first_us", "last_us", "n"]
+    names = ["device", name, "lat", "lon", "first_us", "last_us", "n"]
     types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    width = len(rows.columns)
 
     def run(batches):
-        device, stop, begun = None, None, False
+        device, piece, begun = None, None, False
 
-        def rows(out):
+        def made(out):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
         for batch in batches:
             out = []
-            for d, us, lat, lon in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for d, *values in zip(*(batch.column(k).to_pylist() for k in range(width))):
                 if not begun or d != device:
-                    if stop:
-                        out.append((device, *stop))
-                    device, stop, begun = d, None, True
-                stop, closed = advance(stop, us, lat, lon, least)
+                    if piece:
+                        out.append((device, *piece))
+                    device, piece, begun = d, None, True
+                piece, closed = step(piece, *values)
                 if closed:
                     out.append((device, *closed))
             if out:
-                yield rows(out)
-        if stop:
-            yield rows([(device, *stop)])
+                yield made(out)
+        if piece:
+            yield made([(device, *piece)])
 
-    points = items.select(F.col("device").cast("long"), F.col("us").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"), "item_id")
-    dealt = points.repartition("device").sortWithinPartitions("device", "us", "item_id")
-    return dealt.select("device", "us", "lat", "lon").mapInArrow(run, "device long, stop long, lat double, lon double, first_us long, last_us long, n long")
+    dealt = rows.repartition("device").sortWithinPartitions("device", *order)
+    return dealt.mapInArrow(run, f"device long, {name} long, lat double, lon double, first_us long, last_us long, n long")
+
+
+def stops(items: DataFrame, rules: Trip = Trip()) -> DataFrame:
+    """(device, stop, lat, lon, first_us, last_us, n): runs of items within 400 m of the stop's running mean; items without a place join the stop they fall in.
+
+    The mean depends on every earlier decision, so a device's items pass in
+    time order. An empty table gives an empty one.
+    """
+    least = rules.stop_metres / 1000
+    points = items.select(F.col("device").cast("long"), F.col("us").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"), F.col("item_id").cast("long"))
+    return folded(points, ["us", "item_id"], "stop", lambda stop, us, lat, lon, _: advance(stop, us, lat, lon, least))
 
 
 def visits(found: DataFrame, rules: Trip = Trip()) -> DataFrame:
-    """(device, visit, lat, lon, first_us, last_us, n): neighbouring stops within 3 km and eight hours folded into one, its centre weighted by items."""
-    seq = found.groupBy("device").agg(F.array_sort(F.collect_list(F.struct("stop", "lat", "lon", "first_us", "last_us", "n"))).alias("seq"))
-
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        km = haversine_km(last["lat"], last["lon"], x["lat"], x["lon"])
-        near = (km * 1000 <= rules.visit_metres) & (x["first_us"] - last["last_us"] <= int(rules.visit_gap_hours * 3_600_000_000))
-        mean = lambda c: ((last[c] * last["n"] + x[c] * x["n"]) / (last["n"] + x["n"])).alias(c)
-        one = F.struct(mean("lat"), mean("lon"), last["first_us"].alias("first_us"), F.greatest(last["last_us"], x["last_us"]).alias("last_us"), (last["n"] + x["n"]).alias("n"))
-        fresh = F.struct(*(x[c].alias(c) for c in ("lat", "lon", "first_us", "last_us", "n")))
-        return F.when((F.size(acc) > 0) & near, F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(one))).otherwise(F.concat(acc, F.array(fresh)))
-
-    empty = F.array().cast("array<struct<lat:double,lon:double,first_us:bigint,last_us:bigint,n:bigint>>")
-    return seq.select("device", F.posexplode(F.aggregate("seq", empty, step)).alias("visit", "v")).select("device", F.col("visit").cast("bigint").alias("visit"), "v.*")
+    """(device, visit, lat, lon, first_us, last_us, n): neighbouring stops within 3 km and eight hours folded into one, its centre weighted by items; an empty table gives an empty one."""
+    gap = int(rules.visit_gap_hours * 3_600_000_000)
+
+    def step(visit, _, lat, lon, first, last, n):
+        if visit and first - visit[4] <= gap and distance_km(visit[1], visit[2], lat, lon) * 1000 <= rules.visit_metres:
+            m = visit[5]
+            return [visit[0], (visit[1] * m + lat * n) / (m + n), (visit[2] * m + lon * n) / (m + n), visit[3], max(visit[4], last), m + n], None
+        return [visit[0] + 1 if visit else 0, lat, lon, first, last, n], visit
+
+    return folded(found.select("device", "stop", "lat", "lon", "first_us", "last_us", "n"), ["stop"], "visit", step)
 
 
 DAY_US = 86_400_000_000
