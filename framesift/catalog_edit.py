@@ -81,33 +81,33 @@ def place_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fill_sql(pool: str, by: str) -> str:
-    """CTEs ending in ``picked`` (by, item_id, chapter, pick): the three phases of the fill as one walk over each group of the CTE ``pool``."""
+    """CTEs ending in ``picked`` (by, item_id, chapter, pick, budget): the three phases of the fill as one walk over each group of the CTE ``pool``, whose rows hold their group's budget."""
     same = " AND ".join(f"{{a}}.{c.strip()} = {{b}}.{c.strip()}" for c in by.split(","))
     return f"""able AS (SELECT *, CASE kind WHEN 'video' THEN cast(2 as double) ELSE cast(3 as double) END AS need FROM {pool} WHERE kind <> 'video' OR seconds >= 2 - 0.000001),
-  qa AS (SELECT {by}, chapter, sum(need) AS a FROM able GROUP BY {by}, chapter), qq AS (SELECT {by}, chapter, greatest(cast(3 as double), a / sum(a) OVER (PARTITION BY {by}) * 0.7 * 180) AS quota FROM qa),
+  qa AS (SELECT {by}, chapter, sum(need) AS a, max(budget) AS bud FROM able GROUP BY {by}, chapter), qq AS (SELECT {by}, chapter, greatest(cast(3 as double), a / sum(a) OVER (PARTITION BY {by}) * 0.7 * bud) AS quota FROM qa),
   rk AS (SELECT able.*, quota, row_number() OVER (PARTITION BY {by}, kind ORDER BY score DESC, item_id) AS vr FROM able JOIN qq USING ({by}, chapter)),
-  steps AS (SELECT 1 AS phase, cast(0 as bigint) AS turn, * FROM rk WHERE kind = 'video' AND vr <= 19 UNION ALL SELECT 2, chapter, * FROM rk UNION ALL SELECT 3, 0, * FROM rk),
+  steps AS (SELECT 1 AS phase, cast(0 as bigint) AS turn, * FROM rk WHERE kind = 'video' AND vr <= greatest(1, round_even(0.32 * budget / 3, 0)) UNION ALL SELECT 2, chapter, * FROM rk UNION ALL SELECT 3, 0, * FROM rk),
   walk AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY phase, turn, score DESC, item_id) AS rn FROM steps),
   st AS (SELECT DISTINCT {by}, cast(0 as bigint) AS rn, cast(0 as double) AS spent, cast([] as bigint[]) AS picks, cast(-1 as bigint) AS chap, cast(0 as double) AS used, false AS dead FROM walk
     UNION ALL SELECT {", ".join(f"w.{c.strip()}" for c in by.split(","))}, w.rn, CASE WHEN pick THEN st.spent + w.need ELSE st.spent END, CASE WHEN pick THEN list_append(st.picks, w.item_id) ELSE st.picks END, CASE WHEN w.phase = 2 THEN w.chapter ELSE -1 END,
       CASE WHEN w.phase = 2 THEN used0 + CASE WHEN pick THEN w.need ELSE 0 END ELSE 0 END, w.phase = 2 AND (dead0 OR (fresh AND NOT pick))
     FROM st JOIN walk w ON {same.format(a="w", b="st")} AND w.rn = st.rn + 1,
-    LATERAL (SELECT CASE WHEN st.chap = w.chapter THEN st.used ELSE 0 END AS used0, CASE WHEN st.chap = w.chapter THEN st.dead ELSE st.spent >= 180 END AS dead0, NOT list_contains(st.picks, w.item_id) AS fresh, st.spent + w.need <= 180 OR len(st.picks) < 4 AS fits),
-    LATERAL (SELECT fresh AND fits AND CASE w.phase WHEN 1 THEN true WHEN 2 THEN NOT dead0 AND used0 + w.need <= w.quota ELSE st.spent < 180 END AS pick)),
-  done AS (SELECT {by}, arg_max(picks, rn) AS picks FROM st GROUP BY {by}), picked AS (SELECT {by}, item_id, chapter, cast(list_position(picks, item_id) - 1 as bigint) AS pick FROM rk JOIN done USING ({by}) WHERE list_contains(picks, item_id))"""
+    LATERAL (SELECT CASE WHEN st.chap = w.chapter THEN st.used ELSE 0 END AS used0, CASE WHEN st.chap = w.chapter THEN st.dead ELSE st.spent >= w.budget END AS dead0, NOT list_contains(st.picks, w.item_id) AS fresh, st.spent + w.need <= w.budget OR len(st.picks) < 4 AS fits),
+    LATERAL (SELECT fresh AND fits AND CASE w.phase WHEN 1 THEN true WHEN 2 THEN NOT dead0 AND used0 + w.need <= w.quota ELSE st.spent < w.budget END AS pick)),
+  done AS (SELECT {by}, arg_max(picks, rn) AS picks FROM st GROUP BY {by}), picked AS (SELECT {by}, item_id, chapter, cast(list_position(picks, item_id) - 1 as bigint) AS pick, budget FROM rk JOIN done USING ({by}) WHERE list_contains(picks, item_id))"""
 
 
 UNREJECTED_SQL = f"WITH RECURSIVE {CHAPTERS_SQL.replace('FROM items)', 'FROM items WHERE reject IS NULL)', 1)}"
 
 
-@query(f"""{UNREJECTED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY device, us // 60000000 ORDER BY score DESC, item_id) AS br FROM chaptered), pool AS (SELECT * FROM b WHERE br <= 2), {fill_sql("pool", "device")}
+@query(f"""{UNREJECTED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY device, us // 60000000 ORDER BY score DESC, item_id) AS br FROM chaptered), pool AS (SELECT *, cast(180 as double) AS budget FROM b WHERE br <= 2), {fill_sql("pool", "device")}
   SELECT device, item_id, chapter, pick FROM picked""")
 def greedy_fill(spark: SparkSession, d: str) -> DataFrame:
     pool = choose.burst_cap(trip.chapters(items(spark, d).where("reject IS NULL")), 2)
     return fill.greedy_fill(pool, ["device"]).select("device", "item_id", "chapter", "pick")
 
 
-@query(f"""{UNREJECTED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY device, us // 60000000 ORDER BY score DESC, item_id) AS br FROM chaptered), pool AS (SELECT b.*, cap FROM b, (VALUES (2), (4), (8), (16)) v(cap) WHERE br <= cap), {fill_sql("pool", "device, cap")},
+@query(f"""{UNREJECTED_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY device, us // 60000000 ORDER BY score DESC, item_id) AS br FROM chaptered), pool AS (SELECT b.*, cap, cast(180 as double) AS budget FROM b, (VALUES (2), (4), (8), (16)) v(cap) WHERE br <= cap), {fill_sql("pool", "device, cap")},
   f AS (SELECT *, count(*) OVER (PARTITION BY device, cap) * 2 >= 0.97 * 180 AS filled FROM picked), c AS (SELECT *, coalesce(min(CASE WHEN filled THEN cap END) OVER (PARTITION BY device), 16) AS best FROM f) SELECT device, cap, item_id, chapter, pick FROM c WHERE cap = best""")
 def fill_ladder(spark: SparkSession, d: str) -> DataFrame:
     return fill.fill_ladder(trip.chapters(items(spark, d).where("reject IS NULL"))).select("device", "cap", "item_id", "chapter", "pick")

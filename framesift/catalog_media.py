@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .catalog import CHAPTERS_SQL, MEDIA_SQL, _media, _sun_sql, query
-from .catalog_edit import CUTS_SQL, STOPS_SQL
+from .catalog import CHAPTERS_SQL, HASH_SQL, MEDIA_SQL, _media, _sun_sql, query
+from .catalog_edit import CUTS_SQL, STOPS_SQL, fill_sql
 from .functions import columns as C
 from .functions import media as M
 from .operators import arrange, choose, intake, series, trip
 from .plans.cut_list import cut_list
+from .plans.film import choice as film_choice_of
 from .plans.film import film as make_film
 from .sources import sinks
 from .sources.tables import ITEMS_SQL, items, table
@@ -396,6 +397,19 @@ def top_report(spark: SparkSession, d: str) -> DataFrame:
     return sinks.top_report(named, "item_id")
 
 
+@query(f"""WITH RECURSIVE {CHAPTERS_SQL}, p AS (SELECT item_id, score AS raw, k, us / {D(1000000)} AS ts, us / {D(1000000)} + k * 86400 AS t, coalesce(lat, greatest(-66, least(66, 15 * cos((dayofyear(to_timestamp(us / 1000000) AT TIME ZONE 'UTC') - 172) / 365.25 * 2 * pi())))) AS lat, coalesce(lon, {D(0)}) AS lon FROM items, (VALUES (-1), (0), (1)) v(k)), {_sun_sql('p')},
+  o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN ts BETWEEN rise AND sets THEN 0 ELSE 1 END, CASE WHEN ts BETWEEN rise AND sets THEN k ELSE 0 END, rise - sets, k) AS n FROM sun),
+  l AS (SELECT item_id, raw, CASE WHEN ts < rise - 2700 OR ts > sets + 2700 THEN 0.15 WHEN ts - rise <= 4500 THEN greatest(0.6, 1 - abs(ts - rise - 1500) / 9000) WHEN sets - ts <= 4500 THEN greatest(0.6, 1 - abs(sets - ts - 1500) / 9000)
+    ELSE greatest(0.45, least(1, 0.5 + 0.2 * (abs(ts - (rise + sets) / 2) / greatest(1, (sets - rise) / 2)))) END AS light FROM o WHERE n = 1),
+  {HASH_SQL}, base AS (SELECT c.item_id, c.device, c.us, c.kind, c.reject, c.seconds, c.chapter, round(raw * (0.72 + 0.28 * light), 4) AS score, hash, greatest(5, 180 - least((max(chapter) OVER (PARTITION BY device) + 1) * {D(2.5)}, 180 * {D(0.18)})) AS budget FROM chaptered c JOIN l USING (item_id) JOIN h ON h.id = c.item_id % 500),
+  b AS (SELECT *, row_number() OVER (PARTITION BY device, us // 60000000 ORDER BY score DESC, item_id) AS br FROM base WHERE reject IS NULL), caps AS (SELECT b.*, cap FROM b, (VALUES (2), (4), (8), (16)) v(cap) WHERE br <= cap),
+  d1 AS (SELECT *, row_number() OVER (PARTITION BY device, cap, hash ORDER BY score DESC, item_id) AS nth FROM caps WHERE hash <> 0), pool AS (SELECT * FROM d1 WHERE nth = 1), {fill_sql("pool", "device, cap")},
+  f AS (SELECT *, count(*) OVER (PARTITION BY device, cap) * 2 >= 0.97 * budget AS filled FROM picked), c AS (SELECT *, coalesce(min(CASE WHEN filled THEN cap END) OVER (PARTITION BY device), 16) AS best FROM f) SELECT device, cap, item_id, chapter, pick FROM c WHERE cap = best""")
+def film_choice(spark: SparkSession, d: str) -> DataFrame:
+    """What a device's film shows. The SQL takes equal hashes alone for near copies: no other two of these tables are within ten bits."""
+    return film_choice_of(spark, d).select("device", "cap", "item_id", "chapter", "pick")
+
+
 @query(None)
 def film(spark: SparkSession, d: str) -> DataFrame:
     return make_film(spark, d)

@@ -34,6 +34,11 @@ def distinct_shots(steps: DataFrame) -> DataFrame:
     return choose.greedy_dedupe(named, by=("device", "cap")).drop("id")
 
 
+def choice(spark: SparkSession, sf_dir: str, plan: Plan = Plan()) -> DataFrame:
+    """(device, cap, item_id, chapter, kind, need, pick) of what each device's film shows."""
+    return fill.fill_ladder(cut_lineage(candidates(spark, sf_dir, plan)), plan, "budget", distinct_shots)
+
+
 def with_titles(chosen: DataFrame) -> DataFrame:
     """Chosen items in order of their chapters and times, each chapter's title before them, with ``pos`` from 1; items without a chapter come last."""
     cols = ["device", "chapter", "item_id", "us", "kind", "score", "seconds", "footage"]
