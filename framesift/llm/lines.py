@@ -66,13 +66,14 @@ def drop_boilerplate(df: DataFrame, host_col: str = "source", text_col: str = "t
     else:  # a host may hold a third of all pages
         lists = by_host.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = df.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int")).join(lists, host.eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__part")), "left").drop("__salt", "__part")
-    # a page's own bad lines are found in one pass over the host's list, then looked up among these few
-    bad = F.array_intersect(F.array_compact(line_keys(text)), "__drop")
-    own = joined.withColumn("__bad", F.when(F.col("__drop").isNotNull(), bad)).withColumn("__pairs", F.when(F.size("__bad") > 0, F.arrays_zip(F.split(text, "\n").alias("line"), line_keys(text).alias("key"))))
+    # a page's own bad lines are found in one pass over the host's list, then looked up among these few; keys go through a generator, so that they are made once
+    own = joined.withColumn("__keys", F.explode_outer(F.array(F.when(F.col("__drop").isNotNull(), line_keys(text)))))
+    own = own.withColumn("__bad", F.explode_outer(F.array(F.array_intersect(F.array_compact("__keys"), "__drop"))))
+    own = own.withColumn("__pairs", F.when(F.size("__bad") > 0, F.arrays_zip(F.split(text, "\n").alias("line"), F.col("__keys").alias("key"))))
     kept = F.transform(F.filter("__pairs", lambda x: x["key"].isNull() | ~F.array_contains("__bad", x["key"])), lambda x: x["line"])
     out = own.withColumn("__kept", kept).withColumn("__lines", F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long"))
     return out.withColumns({
         text_col: F.when(F.col("__kept").isNotNull(), F.array_join("__kept", "\n")).otherwise(text),
         "n_lines": F.col("__lines"),
         "n_dropped": F.when(F.col("__kept").isNotNull(), F.col("__lines") - F.size("__kept")).otherwise(0).cast("long"),
-    }).drop("__host", "__drop", "__bad", "__pairs", "__kept", "__lines")
+    }).drop("__host", "__drop", "__keys", "__bad", "__pairs", "__kept", "__lines")

@@ -331,3 +331,29 @@ def test_pipeline_catches_near_copies(spark):
     gone = set(sets) - want
     assert pairs and got >= want  # no clean document goes
     assert len(gone - got) >= 0.98 * len(gone)
+
+
+def test_lines_by_join_and_by_broadcast(spark, monkeypatch):
+    from framesift.llm import lines
+
+    rows = [(i, f"\tMenu home \r\nstory {i}\nshared {i % 30}\x0b\n\n", f"h{i % 2}", "x", "y", 7) for i in range(120)] + [(500, "only page\nonly page", "lone", "x", "y", 7), (501, None, "h0", "x", "y", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, host string, key string, n_lines int").repartition(3)
+    small = sorted(map(str, drop_boilerplate(df).collect()))
+    monkeypatch.setattr(lines, "BROADCAST_LINES", 0)
+    large = drop_boilerplate(df).collect()
+    assert sorted(map(str, large)) == small
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in large}
+    assert got[500] == ("only page\nonly page", 2, 0) and got[501] == (None, 0, 0)
+    assert got[7] == ("story 7\n\n", 5, 2)  # 4 of a host's 61 pages share a line
+
+
+def test_decontamination_by_join_and_by_broadcast(spark, docs, monkeypatch):
+    from framesift.llm import decontaminate as d
+
+    item = corpus()[3][1]
+    bench = spark.createDataFrame([(1, " ".join(item.split()[5:40])), (2, "alpha"), (3, " ".join(corpus()[4][1].split()[:13]))], "item_id long, text string")
+    rows = lambda: sorted(str((r.doc_id, r.n_words, r.n_hit, r["items"], r.spans)) for r in contamination(docs, bench).collect())
+    small, left = rows(), sorted(str(r.doc_id) for r in decontaminate(docs, bench).collect())
+    for name in ("BROADCAST_CHARS", "SCREEN_GRAMS", "BROADCAST_ROWS"):
+        monkeypatch.setattr(d, name, 0)
+    assert rows() == small and sorted(str(r.doc_id) for r in decontaminate(docs, bench).collect()) == left
