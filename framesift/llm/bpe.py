@@ -25,7 +25,8 @@ from .common import map_texts
 SPACE = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 ODD_SPACE = regex.compile("[\\x1c-\\x1f]")
 NO_RANK = np.iinfo(np.int32).max
-WORDS_KEPT = 300_000
+#: Bytes of words and ids that an encoder remembers.
+KEPT_BYTES = 16 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -119,8 +120,8 @@ def merge_rounds(t: BpeTables, words: list[bytes]) -> list[np.ndarray]:
 class BpeEncoder:
     """Encodes batches of texts and decodes ids; keeps the ids of words it has met, up to a bound."""
 
-    def __init__(self, tables: BpeTables, words_kept: int = WORDS_KEPT):
-        self.t, self.kept, self.words_kept = tables, {}, words_kept
+    def __init__(self, tables: BpeTables, kept_bytes: int = KEPT_BYTES):
+        self.t, self.kept, self.size, self.kept_bytes = tables, {}, 0, kept_bytes
         self.pattern = regex.compile(tables.pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(tables.specials, key=len, reverse=True)))) if tables.specials else None
 
@@ -148,9 +149,10 @@ class BpeEncoder:
         texts = [self._chunks(x) for x in texts]
         new = set(chain.from_iterable(texts)).difference(self.kept)
         if new:
-            if len(self.kept) + len(new) > self.words_kept:
-                self.kept.clear()
+            if self.size > self.kept_bytes:
+                self.kept, self.size = {}, 0
                 new = set(chain.from_iterable(texts))
+            self.size += sum(map(len, new)) + 160 * len(new)
             for c in [c for c in new if isinstance(c, tuple)]:
                 self.kept[c] = self.t.specials[c[1]].to_bytes(4, "little")
             self._learn([c for c in new if isinstance(c, str)])

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..sources.shared import cut_lineage  # noqa: F401  the text operators take it from here
 
 #: Rows and bytes of what a worker turns into Python objects at once.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -71,11 +71,13 @@ def map_texts(
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
 
     def run(batches):
-        fn = make()
+        fn, batch, cols, made = make(), None, None, None
         for batch in cut_batches(batches):
             cols = fn(batch.column(len(keep)).to_pylist())
             made = [pa.array(cols[f.name], type=t) for f, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *(f.name for f in out)])
+        del fn, batch, cols, made
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task without what this one held
 
     return source.mapInArrow(run, schema)
 

@@ -118,7 +118,7 @@ def decode(token: str, costs: np.ndarray) -> str:
 class Restorer:
     """Words of a text, disguised ones restored; remembers spellings up to a bound."""
 
-    def __init__(self, costs: np.ndarray, kept: int = 100_000):
+    def __init__(self, costs: np.ndarray, kept: int = 40_000):
         self.costs, self.known, self.kept = costs, {}, kept
 
     def restore(self, token: str) -> str:
@@ -187,7 +187,7 @@ def thinned(weights: dict[str, float], marked: list[list[str]]) -> dict[str, flo
 class Scorer:
     """Scores texts: the bias plus the two strongest weights among the words, through the logistic function."""
 
-    def __init__(self, costs: np.ndarray, weights: dict[str, float], bias: float, kept: int = 300_000):
+    def __init__(self, costs: np.ndarray, weights: dict[str, float], bias: float, kept: int = 80_000):
         self.restorer, self.weights, self.bias, self.kept = Restorer(costs), weights, bias, kept
         self.words: dict[str, float] = {}
 
