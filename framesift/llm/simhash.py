@@ -280,7 +280,9 @@ BINS, MAP_BITS = 16, 256
 #: Sets of fewer hashes have a parity map and their least hashes as keys, others a SimHash of MAP_BITS; pairs at J = similarity lie this many deviations within the SimHash bound.
 SMALL_SET, SLACK = 64, 4.5
 #: Runs of one key up to this size are compared whole, larger ones by neighbours in turning orders; runs beyond the second size are cut by the leading bits of the order.
-WHOLE_RUN, SORTED_RUN = 64, 4096
+WHOLE_RUN, SORTED_RUN = 64, 1024
+#: Orders whose leading bits cut keys of large runs, by the key.
+CUTS = 8
 #: Orders of a turn; share of the first turn's links that is few.
 ORDERS, FEW_NEW = 8, 0.01
 
@@ -470,7 +472,10 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
                 key, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 maps = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
                 bits = np.ceil(np.log2(np.maximum(1, m / SORTED_RUN))).astype(np.uint64)
-                lead = np.where(bits > 0, turned(maps, ORDERS * turn)[:, 0] >> (np.uint64(64) - np.maximum(bits, np.uint64(1))) | np.uint64(1) << bits, np.uint64(0))
+                lead = np.zeros(len(key), np.uint64)
+                for k in range(CUTS):  # keys are cut by different bits, so sets that one cut parts meet in another
+                    at = np.flatnonzero((bits > 0) & (key % CUTS == k))
+                    lead[at] = turned(maps[at], CUTS * turn + k)[:, 0] >> (np.uint64(64) - bits[at]) | np.uint64(1) << bits[at]
                 key = (key.view(np.uint64) ^ lead * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns[2:]], names=["key", "node", "part", "n", "map"])
 
