@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import read
+from .counts import prefix_tokens, token_count
 from .decontaminate import contaminated, contamination
 from .licenses import license_scan
 from .lines import LEAST_PAGES, RATIO, drop_boilerplate
@@ -83,7 +84,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_tokens, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op8_substrings, op9_licenses, op10_decontaminate)}
+def op11_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over 512 tokens."""
+    docs = read(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    out = prefix_tokens(sized, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id", "n_bytes"]).withColumn("n_tokens", token_count(F.col("prefix_tokens")))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_tokens, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op8_substrings, op9_licenses, op10_decontaminate, op11_counts)}
 
 TRIM = "trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
 
