@@ -10,6 +10,7 @@ from .bpe import bpe_round_trip
 from .common import read
 from .counts import prefix_tokens, token_count
 from .decontaminate import contaminated, contamination
+from .fim import fim_restore, fim_transform
 from .licenses import license_scan
 from .lines import LEAST_PAGES, RATIO, drop_boilerplate
 from .secrets import secret_spans
@@ -92,7 +93,14 @@ def op11_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_tokens, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op8_substrings, op9_licenses, op10_decontaminate, op11_counts)}
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts and digests of every document's fill-in-the-middle form, and of the text restored from it."""
+    out = fim_transform(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim_restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_tokens, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op8_substrings, op9_licenses, op10_decontaminate, op11_counts, op13_fim)}
 
 TRIM = "trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
 
