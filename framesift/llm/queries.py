@@ -19,6 +19,7 @@ from .substrings import repeated_passages
 from .tokenstore import read_tokens, store_path, write_tokens
 from .topk import top_k
 from .toxicity import held_out, toxicity
+from .trie import rebuilt_trie
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +94,11 @@ def op11_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return rebuilt_trie(read(spark, sf_dir, "conversations")).drop("position", "subtree_end")
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts and digests of every document's fill-in-the-middle form, and of the text restored from it."""
     out = fim_transform(read(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -100,7 +106,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim_restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_tokens, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op8_substrings, op9_licenses, op10_decontaminate, op11_counts, op13_fim)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_tokens, op3_topk, op4_toxicity, op5_simhash, op6_lines, op7_secrets, op8_substrings, op9_licenses, op10_decontaminate, op11_counts, op12_trie, op13_fim)}
 
 TRIM = "trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
 
