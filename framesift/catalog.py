@@ -259,4 +259,4 @@ def light_scores(spark: SparkSession, d: str) -> DataFrame:
 ORACLE_SQL["cut_list"] = CUT_LIST_SQL.replace("{CHAPTERS}", CHAPTERS_SQL)
 QUERIES["cut_list"] = cut_list
 
-from . import catalog_edit, catalog_media  # noqa: E402, F401  register their queries
+from . import catalog_edit, catalog_media, catalog_signal  # noqa: E402, F401  register their queries
