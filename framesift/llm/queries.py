@@ -144,4 +144,30 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_trie": r"""
+        WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d FROM conversations WHERE conv_id IS NOT NULL),
+        k AS (SELECT c, own, c - c % 20 AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda crc, x: list_reduce([xor(crc, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, CAST(3988292384 AS BIGINT) * (v & 1)))), CAST(4294967295 AS BIGINT)) % 4 AS h
+              FROM (SELECT c, max(d) AS own FROM t GROUP BY c)),
+        r AS (SELECT k.c, t.d, role, text FROM k JOIN t ON t.c = k.base WHERE t.d <= k.h
+              UNION ALL SELECT k.c, t.d - k.h + least(k.h, coalesce(b.own, 0)), role, text FROM k JOIN t ON t.c = k.c LEFT JOIN k b ON b.c = k.base WHERE t.d > k.h),
+        p AS (SELECT c, d, len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words, string_agg(md5(role || chr(0) || text), '/') OVER (PARTITION BY c ORDER BY d) AS path, count(*) OVER (PARTITION BY c) AS n FROM r
+              UNION ALL SELECT k.c, 0, 0, '', (SELECT count(*) FROM r WHERE r.c = k.c) FROM k),
+        n AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '') AS ends FROM p GROUP BY d, path),
+        u AS (SELECT n.*, up.path AS above FROM n LEFT JOIN p up ON up.c = n.conv_id AND up.d = n.d - 1),
+        kids AS (SELECT d - 1 AS d, above AS path, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+        f AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN kids USING (d, path)),
+        below AS (SELECT p.d, p.path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * f.words) AS saved FROM f JOIN p ON p.c = f.conv_id AND p.d <= f.d GROUP BY p.d, p.path)
+        SELECT f.conv_id, f.d AS depth, n.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+        FROM f JOIN below USING (d, path) LEFT JOIN n ON n.d = f.d - 1 AND n.path = f.above""",
+    "op13_fim": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                     list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), k, 8) AS BIGINT)) AS h FROM documents),
+        c AS (SELECT *, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        s AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c),
+        o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM s),
+        x AS (SELECT *, string_split_regex(output, '<[PSM]>') AS parts FROM o)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+               sha256(output) AS output_sha256, sha256(CASE form WHEN 'plain' THEN output WHEN 'psm' THEN parts[2] || parts[4] || parts[3] ELSE parts[3] || parts[4] || parts[2] END) AS restored_sha256 FROM x""",
 }
