@@ -92,7 +92,7 @@ def offset_borrow(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {ITEMS_SQL}, s AS (SELECT item_id, us, lat, lon, lag(us) OVER w AS pu, lag(lat) OVER w AS pa, lag(lon) OVER w AS po FROM items WINDOW w AS (PARTITION BY device ORDER BY us, item_id))
   SELECT item_id, (us - pu) / cast(1000000 as double) AS gap_s,
-  round(2 * cast(6371.0088 as double) * asin(sqrt(least(cast(1 as double), pow(sin(radians(lat - pa) / 2), 2) + cos(radians(pa)) * cos(radians(lat)) * pow(sin(radians(lon - po) / 2), 2)))), 4) AS km FROM s""")
+  CASE WHEN lat IS NOT NULL AND pa IS NOT NULL THEN round(2 * cast(6371.0088 as double) * asin(sqrt(least(cast(1 as double), pow(sin(radians(lat - pa) / 2), 2) + cos(radians(pa)) * cos(radians(lat)) * pow(sin(radians(lon - po) / 2), 2)))), 4) END AS km FROM s""")
 def haversine_steps(spark: SparkSession, d: str) -> DataFrame:
     return trip.steps(items(spark, d)).select("item_id", "gap_s", F.round("km", 4).alias("km"))
 
@@ -161,6 +161,32 @@ def greedy_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return choose.greedy_dedupe(_hashes(spark, d), 18).select("id")
 
 
+#: Hashes of a few flipped bits: of four neighbours the first as it is, the others with up to 4, 8 and 12 bits of it turned.
+FLIPPED_SQL = f"""{HASH_SQL}, h2 AS (SELECT x.vec_id AS id, xor(b.hash, list_reduce(list_transform(range(0, 4 * (x.vec_id % 4) + 1), lambda j: CASE WHEN j = 0 THEN cast(0 as bigint) ELSE cast(1 as bigint) << cast((x.vec_id * 5 + j * 11) % 62 as integer) END), lambda p, q: xor(p, q))) AS hash, cast((x.vec_id * 7919) % 1000 as double) AS score
+  FROM embeddings x JOIN h b ON b.id = x.vec_id - x.vec_id % 4)"""
+
+
+def _flipped(spark: SparkSession, d: str) -> DataFrame:
+    h = _hashes(spark, d)
+    base = h.where("id % 4 = 0").select(F.col("id").alias("base"), F.col("hash").alias("of"))
+    flip = F.aggregate(F.sequence(F.lit(0).cast("long"), 4 * (F.col("id") % 4)), F.lit(0).cast("long"), lambda p, j: p.bitwiseXOR(F.when(j == 0, 0).otherwise(F.pow(F.lit(2.0), (F.col("id") * 5 + j * 11) % 62).cast("long"))))
+    return h.join(base, F.col("base") == F.col("id") - F.col("id") % 4).select("id", F.col("of").bitwiseXOR(flip).alias("hash"), "score")
+
+
+@query(f"WITH {FLIPPED_SQL} SELECT x.id AS a, y.id AS b, cast(bit_count(xor(x.hash, y.hash)) AS INTEGER) AS distance FROM h2 x JOIN h2 y ON x.id < y.id WHERE bit_count(xor(x.hash, y.hash)) <= 10")
+def near_pairs_ten(spark: SparkSession, d: str) -> DataFrame:
+    return choose.near_pairs(_flipped(spark, d), 10)
+
+
+@query(f"""WITH RECURSIVE {FLIPPED_SQL}, o AS (SELECT id, hash, row_number() OVER (ORDER BY score DESC, id) AS rn FROM h2 WHERE hash <> 0),
+  g AS (SELECT cast(0 as bigint) AS rn, cast([] as bigint[]) AS kept, cast([] as bigint[]) AS ids UNION ALL
+    SELECT o.rn, CASE WHEN far THEN list_append(kept, o.hash) ELSE kept END, CASE WHEN far THEN list_append(ids, o.id) ELSE ids END
+    FROM g JOIN o ON o.rn = g.rn + 1, LATERAL (SELECT len(list_filter(g.kept, lambda x: bit_count(xor(x, o.hash)) <= 10)) = 0 AS far))
+  SELECT unnest(ids) AS id FROM g WHERE rn = (SELECT max(rn) FROM g)""")
+def greedy_dedupe_ten(spark: SparkSession, d: str) -> DataFrame:
+    return choose.greedy_dedupe(_flipped(spark, d), 10).select("id")
+
+
 @query(f"""WITH {CHAPTERS_SQL}, c AS (SELECT device, chapter, sum(cast(round(seconds * 100) AS BIGINT)) AS cs FROM chaptered GROUP BY device, chapter)
   SELECT device, chapter, round(greatest(cast(2 as double), cs / cast(sum(cs) OVER (PARTITION BY device) as double) * 0.7 * 180), 6) AS quota_s FROM c""")
 def chapter_quotas(spark: SparkSession, d: str) -> DataFrame:

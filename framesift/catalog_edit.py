@@ -44,7 +44,7 @@ def chapter_stop(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CHAPTERS_SQL}, p AS (SELECT *, lag(lat) OVER w AS pa, lag(lon) OVER w AS po, lag(us) OVER w AS pu, lag(day) OVER w AS pd FROM located WINDOW w AS (PARTITION BY device ORDER BY us, item_id)),
-  m AS (SELECT *, CASE WHEN us - pu >= 18000000000 OR day <> pd OR coalesce(2 * cast(6371.0088 as double) * asin(sqrt(least(cast(1 as double), pow(sin(radians(lat - pa) / 2), 2) + cos(radians(pa)) * cos(radians(lat)) * pow(sin(radians(lon - po) / 2), 2)))) * 1000 >= 2500, false) THEN 1 ELSE 0 END AS brk FROM p),
+  m AS (SELECT *, CASE WHEN us - pu >= 18000000000 OR day <> pd OR coalesce(lat IS NOT NULL AND pa IS NOT NULL AND 2 * cast(6371.0088 as double) * asin(sqrt(least(cast(1 as double), pow(sin(radians(lat - pa) / 2), 2) + cos(radians(pa)) * cos(radians(lat)) * pow(sin(radians(lon - po) / 2), 2)))) * 1000 >= 2500, false) THEN 1 ELSE 0 END AS brk FROM p),
   t AS (SELECT device, us, sum(brk) OVER (PARTITION BY device ORDER BY us, item_id) AS chapter FROM m)
   SELECT device, cast(chapter AS BIGINT) AS chapter, min(us) AS first_us, max(us) AS last_us, count(*) AS n FROM t GROUP BY device, chapter""")
 def chapters_on_move(spark: SparkSession, d: str) -> DataFrame:

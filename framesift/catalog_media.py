@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,6 +17,7 @@ from .plans.cut_list import cut_list
 from .plans.film import choice as film_choice_of
 from .plans.film import film as make_film
 from .sources import sinks
+from .sources.shared import shared_folder
 from .sources.tables import ITEMS_SQL, items, table
 
 D = "cast({} as double)".format
@@ -413,3 +416,15 @@ def film_choice(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def film(spark: SparkSession, d: str) -> DataFrame:
     return make_film(spark, d)
+
+
+@query("""WITH d AS (SELECT DISTINCT cast(doc_id as varchar) AS key, doc_id, n_chars FROM documents)
+  SELECT key, cast(CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE 2 * n_chars END AS BIGINT) AS held FROM d""")
+def cache_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of document sizes in two runs of two thirds each, the later over the earlier."""
+    root = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "doc_id", "n_chars")
+    items = lambda n: F.array(F.struct(n.alias("held"))).alias("items")
+    for mark, part, n in (("first", F.col("doc_id") % 3 < 2, F.col("n_chars")), ("second", F.col("doc_id") % 3 > 0, 2 * F.col("n_chars"))):
+        intake.merge_cache(docs.where(part).select("key", items(n)), root, "sizes", mark)
+    return intake.read_version(spark, root, "sizes", "array<struct<held:bigint>>").select("key", F.col("items")[0]["held"].alias("held"))

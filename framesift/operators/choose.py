@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from itertools import count
+from itertools import combinations, count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,14 +25,42 @@ def burst_cap(items: DataFrame, cap: int = 2, bucket_s: int = 60, by: tuple[str,
     return kept.withColumnRenamed("__n", rank) if rank else kept.drop("__n")
 
 
-def near_pairs(hashes: DataFrame, most: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, distance) of rows (id, hash) of one group within ``most`` of 64 bits: they share one of most + 1 bands, an equi-join; pairs of several bands count once."""
-    n = most + 1
+#: Rows that a key of near_pairs is to hold on average, at most; most keys a row.
+KEY_ROWS, ROW_KEYS = 64, 3003
+
+
+def key_blocks(rows: int, most: int) -> int:
+    """How many blocks of 64 bits cut into most + c a key of near_pairs joins: the least c whose keys hold KEY_ROWS rows on average, as far as ROW_KEYS keys a row allow."""
+    c = 1
+    while rows >> (64 * c // (most + c)) > KEY_ROWS and most + c < 64 and math.comb(most + c + 1, c + 1) <= ROW_KEYS:
+        c += 1
+    return c
+
+
+def near_pairs(hashes: DataFrame, most: int, by: tuple[str, ...] = (), rows: int | None = None) -> DataFrame:
+    """(a, b, distance) of rows (id, hash) of one group within ``most`` of 64 bits, a < b.
+
+    Of most + c blocks a near pair has c equal at least. Each set of c blocks
+    is a key, an equi-join; c grows with the number of rows (counted if not
+    given), so that keys stay short lists of rows. A pair counts at the first
+    c blocks that it has equal and at no other key, so nothing is made
+    distinct.
+    """
+    c = key_blocks(hashes.count() if rows is None else rows, most)
+    n = most + c
     cut = [64 * i // n for i in range(n + 1)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", cut[i]).bitwiseAND((1 << (cut[i + 1] - cut[i])) - 1).alias("v")) for i in range(n)))
-    x = hashes.select(F.explode(bands).alias("k"), *by, "id", "hash").select(F.struct("k", *by).alias("k"), "id", "hash")
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    blocks = [(1 << cut[i + 1]) - (1 << cut[i]) for i in range(n)]
+    masks = F.array(*(F.lit(signed(sum(s))).cast("long") for s in combinations(blocks, c)))
+    x = hashes.select(F.explode(masks).alias("mask"), *by, "id", "hash").select(F.struct("mask", F.col("hash").bitwiseAND(F.col("mask")).alias("v"), *by).alias("k"), "id", "hash")
     a, b = x.toDF("k", "a", "ha"), x.toDF("k", "b", "hb")
-    return a.join(b, "k").where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    near = a.join(b, "k").where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
+    apart, none = F.col("ha").bitwiseXOR(F.col("hb")), F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("mask"))
+    first = F.aggregate(
+        F.array(*(F.lit(signed(m)).cast("long") for m in blocks)), none,
+        lambda acc, m: F.when((acc["n"] < c) & (apart.bitwiseAND(m) == 0), F.struct((acc["n"] + 1).alias("n"), acc["mask"].bitwiseOR(m).alias("mask"))).otherwise(acc),
+    )
+    return near.where(first["mask"] == F.col("k.mask")).select("a", "b", "distance")
 
 
 def settle(frames):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.window import Window
 
 from ..functions import media as M
@@ -56,6 +59,73 @@ def write_cache(entries: DataFrame, path: str, fingerprint: str) -> None:
     entries.where("key IS NOT NULL").select(F.lit(fingerprint).alias("cfg"), "key", "items").write.mode("errorifexists").json(path)
 
 
+#: Versions of a cache that stay beside a new one, for readers that began before it.
+KEPT_VERSIONS = 2
+
+
+def versions(spark: SparkSession, root: str) -> dict[int, str]:
+    """The finished versions below a cache's folder, by number: folders v=<number>-<mark> with a success file, in any store that Spark reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return {}
+    found = {}
+    for status in store.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("v=") and store.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found[int(name[2:].split("-", 1)[0])] = name
+    return found
+
+
+def read_version(spark: SparkSession, root: str, fingerprint: str, items: str) -> DataFrame:
+    """(key, items) of the newest finished version, of this fingerprint; nothing without one."""
+    found = versions(spark, root)
+    if not found:
+        return spark.createDataFrame([], f"key string, items {items}")
+    return read_cache(spark, f"{root}/{found[max(found)]}", fingerprint, items)
+
+
+def merge_cache(entries: DataFrame, root: str, fingerprint: str, mark: str = "batch") -> None:
+    """A new version of the cache: these (key, items) over those of the newest finished one that have their fingerprint; entries of others go, as do those without a key, and of equal keys one stays.
+
+    Readers keep the version that they began with; a version counts once its
+    success file is there, so one that broke off is as if it had not begun,
+    and the next has its number. Old entries are joined by key, never
+    gathered. Only the newest versions stay.
+    """
+    spark = entries.sparkSession
+    found = versions(spark, root)
+    number = max(found, default=0) + 1
+    new = entries.where("key IS NOT NULL").select("key", "items").dropDuplicates(["key"])
+    if found:
+        old = read_version(spark, root, fingerprint, entries.schema["items"].dataType.simpleString())
+        new = new.union(old.join(new.select("key"), "key", "left_anti").select("key", "items"))
+    new.select(F.lit(fingerprint).alias("cfg"), "key", "items").write.mode("overwrite").json(f"{root}/v={number:09d}-{mark}")
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    store = paths(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in sorted(found)[:-KEPT_VERSIONS]:
+        store.delete(paths(f"{root}/{found[k]}"), True)
+
+
+def refresh_cache(files: DataFrame, root: str, fingerprint: str, items: str, analyse: Callable[[DataFrame], DataFrame], name: str) -> DataStreamWriter:
+    """The writer of a stream of files (key, ...) that keeps a cache up to date: ``analyse`` gives (key, items) of those that the cache lacks, and each batch is a version.
+
+    A batch that is played again finds the version that bears its name and
+    number and does nothing, or, where that was not finished, writes it. The
+    name is the stream's own, the same from start to start.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark, mark = batch.sparkSession, f"{name}.{number}"
+        if mark in {v.split("-", 1)[1] for v in versions(spark, root).values()}:
+            return
+        fresh = batch.where("key IS NOT NULL").dropDuplicates(["key"])
+        todo = fresh.join(read_version(spark, root, fingerprint, items).select("key"), "key", "left_anti")
+        merge_cache(analyse(todo), root, fingerprint, mark)
+
+    return files.writeStream.foreachBatch(merge)
+
+
 def split_cached(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Files (key) with their cached items, and those still to be analysed; files of today, so no old metadata comes back."""
     return files.join(cache, "key"), files.join(cache.select("key"), "key", "left_anti")
