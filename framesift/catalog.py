@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.media import light_of
-from .functions.solar import sun_times as sun
 from .operators import catalogue, choose, trip
+from .operators.light import with_light, with_sun
 from .plans.cut_list import CUT_LIST_SQL, cut_list
 from .sources.tables import ITEMS_SQL, items, table
 
@@ -269,8 +268,8 @@ def _sun_sql(source: str) -> str:
 
 @query(f"WITH {ITEMS_SQL}, p AS (SELECT item_id, us / cast(1000000 as double) AS t, lat, lon FROM items WHERE lat IS NOT NULL), {_sun_sql('p')} SELECT item_id, round(rise, 2) AS rise, round(sets, 2) AS sets FROM sun")
 def sun_times(spark: SparkSession, d: str) -> DataFrame:
-    i = items(spark, d).where("lat IS NOT NULL").withColumn("s", sun(F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon")))
-    return i.select("item_id", F.round("s.rise", 2).alias("rise"), F.round("s.set", 2).alias("sets"))
+    i = with_sun(items(spark, d).where("lat IS NOT NULL").withColumn("ts", F.col("us") / F.lit(1e6)), "ts", "lat", "lon", (0,))
+    return i.select("item_id", F.round("__rise_0", 2).alias("rise"), F.round("__set_0", 2).alias("sets"))
 
 
 @query(f"""WITH {ITEMS_SQL}, p AS (SELECT item_id, k, us / cast(1000000 as double) AS ts, us / cast(1000000 as double) + k * 86400 AS t, lat, lon FROM items, (VALUES (-1), (0), (1)) v(k) WHERE lat IS NOT NULL), {_sun_sql('p')},
@@ -279,7 +278,7 @@ def sun_times(spark: SparkSession, d: str) -> DataFrame:
     ELSE greatest(0.45, least(1, 0.5 + 0.2 * (abs(ts - (rise + sets) / 2) / greatest(1, (sets - rise) / 2)))) END, 4) AS light FROM o WHERE n = 1""")
 def light_scores(spark: SparkSession, d: str) -> DataFrame:
     i = items(spark, d).where("lat IS NOT NULL")
-    return i.select("item_id", F.round(light_of(F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon")), 4).alias("light"))
+    return with_light(i, F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon")).select("item_id", F.round("light", 4).alias("light"))
 
 
 ORACLE_SQL["cut_list"] = CUT_LIST_SQL.replace("{CHAPTERS}", CHAPTERS_SQL)

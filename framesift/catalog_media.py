@@ -13,6 +13,7 @@ from .catalog_edit import CUTS_SQL, STOPS_SQL, fill_sql
 from .functions import columns as C
 from .functions import media as M
 from .operators import arrange, choose, intake, series, trip
+from .operators.light import with_light
 from .plans.cut_list import cut_list
 from .plans.film import choice as film_choice_of
 from .plans.film import film as make_film
@@ -216,7 +217,7 @@ def beat_lengths(spark: SparkSession, d: str) -> DataFrame:
     ELSE greatest(0.45, least(1, 0.5 + 0.2 * (abs(ts - (rise + sets) / 2) / greatest(1, (sets - rise) / 2)))) END AS light FROM o WHERE n = 1)
   SELECT item_id, round(light, 4) AS light, round(score * (0.72 + 0.28 * light), 4) AS lit FROM l""")
 def lit_scores(spark: SparkSession, d: str) -> DataFrame:
-    i = items(spark, d).withColumn("light", M.light_of(F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon")))
+    i = with_light(items(spark, d), F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon"))
     return i.select("item_id", F.round("light", 4).alias("light"), F.round(M.lit_score(F.col("score"), F.col("light"), F.col("us")), 4).alias("lit"))
 
 
@@ -404,7 +405,7 @@ def top_report(spark: SparkSession, d: str) -> DataFrame:
   o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY CASE WHEN ts BETWEEN rise AND sets THEN 0 ELSE 1 END, CASE WHEN ts BETWEEN rise AND sets THEN k ELSE 0 END, rise - sets, k) AS n FROM sun),
   l AS (SELECT item_id, raw, CASE WHEN ts < rise - 2700 OR ts > sets + 2700 THEN 0.15 WHEN ts - rise <= 4500 THEN greatest(0.6, 1 - abs(ts - rise - 1500) / 9000) WHEN sets - ts <= 4500 THEN greatest(0.6, 1 - abs(sets - ts - 1500) / 9000)
     ELSE greatest(0.45, least(1, 0.5 + 0.2 * (abs(ts - (rise + sets) / 2) / greatest(1, (sets - rise) / 2)))) END AS light FROM o WHERE n = 1),
-  {HASH_SQL}, base AS (SELECT c.item_id, c.device, c.us, c.kind, c.reject, c.seconds, c.chapter, round(raw * (0.72 + 0.28 * light), 4) AS score, hash, greatest(5, 180 - least((max(chapter) OVER (PARTITION BY device) + 1) * {D(2.5)}, 180 * {D(0.18)})) AS budget FROM chaptered c JOIN l USING (item_id) JOIN h ON h.id = c.item_id % 500),
+  {HASH_SQL}, nv AS (SELECT count(*) AS nv FROM embeddings), base AS (SELECT c.item_id, c.device, c.us, c.kind, c.reject, c.seconds, c.chapter, round(raw * (0.72 + 0.28 * light), 4) AS score, hash, greatest(5, 180 - least((max(chapter) OVER (PARTITION BY device) + 1) * {D(2.5)}, 180 * {D(0.18)})) AS budget FROM (SELECT *, item_id % nv AS v FROM chaptered, nv) c JOIN l USING (item_id) JOIN h ON h.id = c.v),
   b AS (SELECT *, row_number() OVER (PARTITION BY device, us // 60000000 ORDER BY score DESC, item_id) AS br FROM base WHERE reject IS NULL), caps AS (SELECT b.*, cap FROM b, (VALUES (2), (4), (8), (16)) v(cap) WHERE br <= cap),
   d1 AS (SELECT *, row_number() OVER (PARTITION BY device, cap, hash ORDER BY score DESC, item_id) AS nth FROM caps WHERE hash <> 0), pool AS (SELECT * FROM d1 WHERE nth = 1), {fill_sql("pool", "device, cap")},
   f AS (SELECT *, count(*) OVER (PARTITION BY device, cap) * 2 >= 0.97 * budget AS filled FROM picked), c AS (SELECT *, coalesce(min(CASE WHEN filled THEN cap END) OVER (PARTITION BY device), 16) AS best FROM f) SELECT device, cap, item_id, chapter, pick FROM c WHERE cap = best""")

@@ -12,19 +12,20 @@ from ..config import Plan
 from ..functions import columns as C
 from ..functions import media as M
 from ..operators import arrange, choose, fill, intake, trip
+from ..operators.light import with_light
 from ..sources.shared import cut_lineage
 from ..sources.tables import items, table
 
 
 def candidates(spark: SparkSession, sf_dir: str, plan: Plan) -> DataFrame:
     """Items that are not rejected, with chapter, lit score, hash, footage and the time that titles leave of their device's film."""
-    told = trip.chapters(items(spark, sf_dir))
-    light = M.light_of(F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon"))
-    told = told.withColumn("score", F.round(M.lit_score(F.col("score"), light, F.col("us")), 4))
+    told = trip.chapters(with_light(items(spark, sf_dir), F.col("us") / F.lit(1e6), F.col("lat"), F.col("lon")))
+    told = told.withColumn("score", F.round(M.lit_score(F.col("score"), F.col("light"), F.col("us")), 4)).drop("light")
     chapters = F.max("chapter").over(Window.partitionBy("device")) + 1
     budget = F.greatest(F.lit(5.0), plan.target_seconds - M.title_seconds(chapters, F.lit(plan.target_seconds), plan))
-    hashes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__v"), C.signature(F.col("embedding")).alias("hash"))
-    told = told.withColumn("budget", budget).where("reject IS NULL").join(hashes, F.col("item_id") % 500 == F.col("__v")).drop("__v")
+    vectors = table(spark, sf_dir, "embeddings")
+    hashes = vectors.select(F.col("vec_id").alias("__v"), C.signature(F.col("embedding")).alias("hash"))
+    told = told.withColumn("budget", budget).where("reject IS NULL").join(hashes, F.col("item_id") % max(1, vectors.count()) == F.col("__v")).drop("__v")
     return told.withColumn("footage", M.available(F.col("kind"), F.lit(0.0), F.col("seconds"), F.lit(0.0)))
 
 
