@@ -95,7 +95,7 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     convs = convs.withColumns({"h": (F.crc32(F.col("conv").cast("string").cast("binary")) % SHARED).cast(LONG), "base": F.col("conv") - F.col("conv") % EVERY})
     bases = convs.where(F.col("conv") % EVERY == 0).select(F.col("conv").alias("base"), F.col("own").alias("there"))
     taken = F.least("h", F.coalesce("there", F.lit(0)))
-    convs = cut_lineage(convs.join(bases, "base", "left").select("conv", "base", "h", taken.alias("taken"), (taken + F.greatest(F.lit(0), F.col("own") - F.col("h"))).alias("n")))
+    convs = convs.join(bases, "base", "left").select("conv", "base", "h", taken.alias("taken"), (taken + F.greatest(F.lit(0), F.col("own") - F.col("h"))).alias("n"))
     own = turns.join(convs, "conv").where("depth > h").select("conv", (F.col("depth") - F.col("h") + F.col("taken")).alias("depth"), "a", "b", "words", "n")
     first = turns.where((F.col("conv") % EVERY == 0) & (F.col("depth") < SHARED)).withColumnRenamed("conv", "base")
     first = first.join(convs, "base").where("depth <= taken").select("conv", "depth", "a", "b", "words", "n")
@@ -158,9 +158,10 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     named = running(named, ["conv", "depth"], "conv", ["depth", "words", "n"], xors={"x": "hx", "y": "hy"})
     none = F.lit(0).cast(LONG)
     ends = named.where("depth = n").select("conv", "n", "x", "y").union(lengths.where("n = 0").select("conv", none, none, none))
-    paths = cut_lineage(ends.groupBy("n", "x", "y").agg(F.min("conv").alias("s"), F.count("*").alias("m")))
+    paths = ends.groupBy("n", "x", "y").agg(F.min("conv").alias("s"), F.count("*").alias("m"))
     steps = named.select("conv", "depth", "words", "x", "y").join(paths.select(F.col("s").alias("conv"), F.col("m")), "conv")
     steps = cut_lineage(steps.select(F.col("conv").alias("s"), "depth", "words", "x", "y", "m").union(paths.select("s", none, none, none, none, "m")))
+    # written, so that adaptive execution can split the join with a very common node
     nodes = cut_lineage(steps.groupBy("depth", "x", "y").agg(F.min("s").alias("owner"), F.sum("m").alias("n_convs"), F.max("words").alias("words")))
     owned = cut_lineage(steps.select("s", "depth", "x", "y").join(nodes.select("depth", "x", "y", "owner"), ["depth", "x", "y"]).select("s", "depth", "owner"))
     # chains: what a path leaves and where; as many entries as it has branches
@@ -170,13 +171,13 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     mine = F.element_at("way", -1)
     chains = way.where(mine["owner"] == F.col("s")).select(F.col("s").alias("owner"), mine["top"].alias("top"), F.col("n").alias("bottom"), F.when(F.size("way") > 1, F.element_at("way", -2)["owner"]).alias("above"), F.transform("way", lambda w: F.struct((-w["top"]).alias("d"), w["owner"].alias("o"))).alias("rank"))
     chains = running(chains.withColumn("size", F.col("bottom") - F.col("top") + 1), ["rank"], None, ["owner", "top", "bottom", "above", "size"], {"over": "size"})
-    chains = cut_lineage(chains.select("owner", "top", "bottom", "above", (F.col("over") - F.col("size")).alias("start")))
+    chains = chains.select("owner", "top", "bottom", "above", (F.col("over") - F.col("size")).alias("start"))
     branches = chains.where("above IS NOT NULL").groupBy(F.col("above").alias("owner"), (F.col("top") - 1).alias("depth")).agg(F.count("*").alias("branches"))
     placed = nodes.join(chains, "owner").join(branches, ["owner", "depth"], "left")
     children = F.coalesce("branches", F.lit(0)) + (F.col("depth") < F.col("bottom")).cast(LONG)
     parent = F.when(F.col("depth") > F.col("top"), F.col("owner")).otherwise(F.col("above"))
     placed = placed.select("owner", "depth", parent.alias("parent"), "n_convs", children.alias("n_children"), (F.col("start") + F.col("depth") - F.col("top")).alias("position"), (children == 0).cast(LONG).alias("leaf"), ((F.col("n_convs") - 1) * F.col("words")).alias("saving"))
-    placed = cut_lineage(running(placed, ["position"], None, ["owner", "depth", "parent", "n_convs", "n_children", "position", "leaf", "saving"], {"leaves": "leaf", "savings": "saving"}))
+    placed = running(placed, ["position"], None, ["owner", "depth", "parent", "n_convs", "n_children", "position", "leaf", "saving"], {"leaves": "leaf", "savings": "saving"})
     # the last place below a node is where some member ends
     last = way.select("s", mine["owner"].alias("owner"), F.col("n").alias("depth")).join(placed.select("owner", "depth", "position", "leaves", "savings"), ["owner", "depth"]).select("s", "position", "leaves", "savings")
     below = owned.join(last, "s").groupBy("owner", "depth").agg(F.max("position").alias("subtree_end"), F.max("leaves").alias("leaves_end"), F.max("savings").alias("savings_end"))
