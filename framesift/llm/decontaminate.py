@@ -1,10 +1,12 @@
 """Operator 10: benchmark decontamination, in DataFrame functions only.
 
-Windows of ``size`` consecutive item words (a shorter item: the item) form a
-hash set that is broadcast, after its size has been checked. A document is
-first screened at every ``stride``-th word by short grams, so placed that any
-window in it holds one of them whole; documents that pass have all their
-windows looked up, and every hit is verified by the window's own words.
+Windows of ``size`` consecutive item words (a shorter item: the item) and
+short grams of theirs are hash tables, broadcast after their sizes have been
+checked. A document is screened at every ``stride``-th word by such grams, so
+placed that any window in it holds one of them whole: its grams are rows that
+meet the table in a join. Around the places that meet it the document's own
+windows are made and looked up by their words. The same steps serve any
+benchmark; where a table is too large to broadcast, its join is shuffled.
 """
 
 from __future__ import annotations
@@ -15,12 +17,10 @@ from pyspark.sql import functions as F
 from .common import cut_lineage
 
 SIZE = 13
-#: A benchmark whose windows hold more characters than this is not broadcast but looked up by shuffled joins.
-BROADCAST_CHARS = 16 << 20
+#: Windows of more characters than this are not broadcast but met in a shuffled join; so are more screen grams, or places, than this (some 16 bytes each).
+BROADCAST_CHARS, BROADCAST_GRAMS = 16 << 20, 1 << 20
 #: Rejected documents up to this number (a few MB of ids and hashes) go out as a broadcast, so that no text is shuffled.
 BROADCAST_ROWS = 200_000
-#: A screen of more grams than this is left out: its hash set would no longer be small in the plan.
-SCREEN_GRAMS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,30 +59,34 @@ def screen_plan(n: int) -> tuple[int, int]:
     return g, n - g + 1
 
 
-def no_windows() -> Column:
-    return F.array().cast("array<struct<start:int,n:int,window:string>>")
+def gram_hash(words: Column, at: Column, size: int) -> Column:
+    """A hash of the gram of ``size`` words from a 0-based place."""
+    return F.xxhash64(*(words[at + k] for k in range(size)), F.lit(size))
 
 
-def hashed(window: Column) -> Column:
-    """128 bits of a window in hexadecimal, by which it is looked up where windows of all documents are shuffled."""
-    return F.concat(F.hex(F.xxhash64(window)), F.lit("-"), F.hex(F.xxhash64(window, F.lit(1))))
+def item_grams(windows: DataFrame, n: int) -> DataFrame:
+    """(n, h): hashes of all screen grams of the windows of n words."""
+    g, _ = screen_plan(n)
+    words = F.split("window", " ")
+    return windows.where(F.col("n") == n).select(F.col("n"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - g)), lambda i: gram_hash(words, i, g))).alias("h")).distinct()
 
 
-def found_windows(words: Column, windows: DataFrame, n: int, screened: bool) -> Column:
-    """The document's windows of n words, as (start, n, window): all, hashed, or those whose hash is in the set of item windows, by their words."""
-    starts = places(words, n)
-    if screened:
-        g, stride = screen_plan(n)
-        item = windows.select(F.split("window", " ").alias("w"))
-        grams = item.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - g)), lambda i: F.xxhash64(gram(F.col("w"), i, g)))).alias("h"))
-        screen = [r.h for r in grams.distinct().collect()]
-        keys = [r.h for r in windows.select(F.xxhash64("window").alias("h")).distinct().collect()]
-        starts = F.filter(starts, lambda i: F.xxhash64(gram(words, i, n)).isin(keys))
-    found = F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), (gram(words, i, n) if screened else hashed(gram(words, i, n))).alias("window")))
-    if screened:
-        passed = F.exists(places(words, g, stride), lambda i: F.xxhash64(gram(words, i, g)).isin(screen))
-        found = F.when(passed, found).otherwise(no_windows())
-    return found
+def doc_grams(words: Column, n: int) -> Column:
+    """Array of (n, place, h) of a document's screen grams for windows of n words."""
+    g, stride = screen_plan(n)
+    return F.transform(places(words, g, stride), lambda i: F.struct(F.lit(n).alias("n"), i.alias("place"), gram_hash(words, i, g).alias("h")))
+
+
+def windows_at(words: Column, met: Column, n: int) -> Column:
+    """Array of (start, n, window): the document's windows of n words that hold a gram met at one of the places."""
+    g, _ = screen_plan(n)
+
+    def near(p: Column) -> Column:
+        low, high = F.greatest(F.lit(0), p["place"] - (n - g)), F.least(p["place"], F.size(words) - n)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.filter(met, lambda p: p["n"] == n), near)))
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), gram(words, i, n).alias("window")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,29 +97,39 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_co
     texts have no words; benchmark items without words are never found.
     Repeated rows give a row each; an empty benchmark finds nothing, an empty
     table gives an empty one; other columns, whatever their names, play no
-    part. Texts are read once; only hits and narrow columns are shuffled.
+    part. Texts are read twice, the second time only for documents with a gram
+    in common; of others nothing but narrow columns is shuffled.
     """
     windows = cut_lineage(item_windows(benchmark, size))
-    sizes = windows.select("n", "window").distinct().groupBy("n").agg(F.count("*").alias("count"), F.sum(F.length("window")).alias("chars")).collect()
-    counts, small = {r["n"]: r["count"] for r in sizes}, sum(r["chars"] for r in sizes) <= BROADCAST_CHARS
-    words = F.col("__words")
-    base = docs.select(F.col(f"`{id_col}`").alias("__id"), F.xxhash64(f"`{text_col}`").alias("__text"), once(words_of(F.col(f"`{text_col}`"))).alias("__words"))
-    screened = [n for n in sorted(counts) if small and counts[n] * (n // 2 + 1) <= SCREEN_GRAMS]
-    hits = [found_windows(words, windows.where(F.col("n") == n), n, n in screened) for n in sorted(counts)]
-    # narrow rows, written once: both what is found and every document's number of words are read from them
-    rows = cut_lineage(base.select("__id", "__text", F.size(words).cast("long").alias("n_words"), once(F.concat(*hits) if hits else no_windows()).alias("__hits")))
-    lookup = windows.select(F.when(F.col("n").isin(screened), F.col("window")).otherwise(hashed(F.col("window"))).alias("window"), "item_id")
-    each = rows.where(F.size("__hits") > 0).select("__id", "__text", F.explode(F.array_distinct("__hits")).alias("hit")).select("__id", "__text", "hit.*")
-    verified = each.join(F.broadcast(lookup) if small else lookup, "window")
-    spans = F.collect_set(F.struct("start", "n")).alias("spans")
-    agg = verified.groupBy("__id", "__text").agg(F.array_sort(F.collect_set("item_id")).alias("items"), spans)
+    sizes = [r.n for r in windows.select("n").distinct().orderBy("n").collect()]  # at most ``size`` numbers
+    small = (windows.agg(F.sum(F.length("window"))).first()[0] or 0) <= BROADCAST_CHARS
+    doc_id, text, key = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.xxhash64(f"`{text_col}`")
+    base = docs.select(doc_id.alias("id"), key.alias("key"), once(words_of(text)).alias("words"))
+    # a row for each document, and one for each of its grams that the table holds
+    whole = F.array(F.struct(F.lit(0).alias("n"), F.lit(-1).alias("place"), F.lit(None).cast("long").alias("h")))
+    rows = base.select("id", "key", F.size("words").cast("long").alias("n_words"), F.explode(F.concat(whole, *(doc_grams(F.col("words"), n) for n in sizes))).alias("g")).select("id", "key", "n_words", "g.*")
+    if sizes:
+        grams = item_grams(windows, sizes[0])
+        for n in sizes[1:]:
+            grams = grams.union(item_grams(windows, n))
+        grams = cut_lineage(grams.withColumn("met", F.lit(True)))
+        rows = rows.join(F.broadcast(grams) if grams.count() <= BROADCAST_GRAMS else grams, ["n", "h"], "left").where((F.col("place") < 0) | F.col("met"))
+    rows = cut_lineage(rows.select("id", "key", "n_words", "n", "place"))
+    met = cut_lineage(rows.where("place >= 0").groupBy(F.col("id").alias("i"), F.col("key").alias("k")).agg(F.collect_set(F.struct("n", "place")).alias("met")))
+    few = (met.agg(F.sum(F.size("met"))).first()[0] or 0) <= BROADCAST_GRAMS
+    again = docs.select(doc_id.alias("id"), key.alias("key"), text.alias("text")).join(F.broadcast(met) if few else met, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")))
+    made = again.select("id", "key", "met", once(words_of(F.col("text"))).alias("words"))
+    found = F.concat(*(windows_at(F.col("words"), F.col("met"), n) for n in sizes)) if sizes else F.array().cast("array<struct<start:int,n:int,window:string>>")
+    each = made.select("id", "key", F.explode(found).alias("w")).select("id", "key", "w.*")
+    verified = each.join(F.broadcast(windows) if small else windows, ["n", "window"])
+    agg = verified.groupBy("id", "key").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"))
     hit_words = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s.start, s.start + s.n - 1)))))
-    agg = agg.select(F.col("__id").alias("__i"), F.col("__text").alias("__t"), "items", F.array_sort("spans").alias("spans"), hit_words.cast("long").alias("n_hit"))
-    out = rows.select("__id", "__text", "n_words").join(agg, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t")), "left")
+    agg = agg.select(F.col("id").alias("i"), F.col("key").alias("k"), "items", "spans", hit_words.cast("long").alias("n_hit"))
+    out = rows.where("place < 0").join(agg, F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")), "left")
     return out.select(
-        F.col("__id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>")).alias("spans"), F.col("__text").alias("text_key"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,n:int>>")).alias("spans"), F.col("key").alias("text_key"),
     )
 
 

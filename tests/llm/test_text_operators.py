@@ -354,6 +354,6 @@ def test_decontamination_by_join_and_by_broadcast(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(1, " ".join(item.split()[5:40])), (2, "alpha"), (3, " ".join(corpus()[4][1].split()[:13]))], "item_id long, text string")
     rows = lambda: sorted(str((r.doc_id, r.n_words, r.n_hit, r["items"], r.spans)) for r in contamination(docs, bench).collect())
     small, left = rows(), sorted(str(r.doc_id) for r in decontaminate(docs, bench).collect())
-    for name in ("BROADCAST_CHARS", "SCREEN_GRAMS", "BROADCAST_ROWS"):
+    for name in ("BROADCAST_CHARS", "BROADCAST_GRAMS", "BROADCAST_ROWS"):
         monkeypatch.setattr(d, name, 0)
     assert rows() == small and sorted(str(r.doc_id) for r in decontaminate(docs, bench).collect()) == left
