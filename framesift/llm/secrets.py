@@ -3,7 +3,9 @@
 Patterns find assignments, access keys and long hexadecimal runs. Values in
 further credential contexts are judged by how many guesses they cost: the
 cheapest segmentation into words, dates, repeats, keyboard walks and
-brute-force spans, found by dynamic programming; costly values are added.
+brute-force spans, found by dynamic programming; costly values are added. Every
+value is judged, also one of letters alone: what tells prose from secrets is
+that its words are those of the corpus, ranked by how many documents have them.
 """
 
 from __future__ import annotations
@@ -12,19 +14,19 @@ import math
 import re
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_batches, map_texts
+from .common import map_texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: A credential word, then its value within a few characters; wider than the assignment pattern.
-CONTEXT = re.compile(r"\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|login|pin|(?:api|access|private|client|secret)[_ -]?(?:key|id|secret|token))\b[\"']?\x20*(?:is|was|[:=]+>?|->|\x20)\x20*[\"']?([^\s\"'<>,;]{6,})", re.I | re.A)
+IN_CONTEXT, VALUE = r"\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|login|pin|(?:api|access|private|client|secret)[_ -]?(?:key|id|secret|token))\b[\"']?\x20*(?:is|was|[:=]+>?|->|\x20)\x20*[\"']?", r"[^\s\"'<>,;]{6,}"
+CONTEXT = re.compile(f"{IN_CONTEXT}({VALUE})", re.I | re.A)
 CONTEXT_HINT = re.compile(r"pass|pwd|secret|token|credential|auth|bearer|login|pin|key|client", re.I | re.A)
 
 #: Words that guessers try first, commonest first.
@@ -35,9 +37,10 @@ COMMON = (
     "pepper", "ginger", "tigger", "jordan", "michael", "daniel", "charlie", "thomas", "robert", "george", "jessica", "ashley", "nicole", "server", "system",
     "database", "access", "token", "private", "public", "internet", "computer", "network", "example", "sample", "demo", "temp", "dev", "prod", "stage",
 )
-#: Words that credential contexts of several documents share are words too, at most so many, commonest first.
+#: Words that several documents have are words too, at most so many, those of most documents first.
 CORPUS_WORDS = 50_000
-LETTERS = re.compile("[a-z]{3,20}")
+#: In a text of small letters: a value in its context or a hexadecimal run, which are passed over (a secret that is copied is no word), or a word of the corpus as the only group.
+CORPUS_WORD = f"{IN_CONTEXT}{VALUE}|[0-9a-f]{{12,}}|(?<![a-z])([a-z]{{3,20}})(?![a-z])"
 
 
 class Words:
@@ -53,49 +56,53 @@ class Words:
 LEET = str.maketrans("013457@$!", "oleastasi")
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
+DATE_SIZES = range(4, 11)
 NEXT = {frozenset(p) for row in KEYBOARD for p in zip(row, row[1:])} | {frozenset((a, b)) for up, low in zip(KEYBOARD, KEYBOARD[1:]) for i, b in enumerate(low) for a in up[i : i + 2]}
 #: Longest piece of the structured kinds; longer ones are chains of pieces.
 PIECE = 24
 COSTLY = 10.0
-TELLING = re.compile(r"[0-9]|[A-Za-z][^\w\s][A-Za-z]|[a-z][A-Z]")
 
 
-def guess_cost(value: str, words: Words | None = None) -> float:
-    """log10 of the guesses of the cheapest segmentation; linear in the value's length."""
-    words = words or PLAIN
+def pieces(value: str, i: int, pool: float, words: Words):
+    """(end, cost) of every structured piece that begins at place i: words, dates, runs of a character, blocks that come again, walks over neighbouring keys or along the alphabet; each at every length it may have, up to PIECE."""
     n, low = len(value), value.lower()
-    plain = low.translate(LEET)
+    plain, stop = low.translate(LEET), min(n, i + PIECE)
+    for k in words.lengths:
+        if i + k <= n and (cost := words.cost.get(plain[i : i + k])) is not None:
+            part = value[i : i + k]
+            yield i + k, cost + 0.5 * (plain[i : i + k] != low[i : i + k]) + 0.3 * (part != part.lower())
+    if value[i].isdigit():
+        for k in DATE_SIZES:
+            if i + k <= n and DATE.fullmatch(value, i, i + k):
+                yield i + k, 4.6
+    j = i + 1
+    while j < stop and low[j] == low[i]:
+        j += 1
+        if j - i >= 3:
+            yield j, pool + math.log10(j - i)
+    for width in (2, 3, 4):
+        block, j = low[i : i + width], i + width
+        while j + width <= stop and low[j : j + width] == block:
+            j += width
+            yield j, pool * width + math.log10(j - i)
+    j, turns, step = i + 1, 0, None
+    while j < stop and (frozenset((low[j - 1], low[j])) in NEXT or ord(low[j]) - ord(low[j - 1]) in (1, -1)):
+        now = ord(low[j]) - ord(low[j - 1])
+        turns, step, j = turns + (step not in (None, now)), now, j + 1
+        if j - i >= 4:
+            yield j, 1.7 + math.log10(j - i) + 0.4 * turns
+
+
+def guess_cost(value: str, words: Words | None = None) -> float:
+    """log10 of the guesses of the cheapest segmentation, a true minimum over all; linear in the value's length. A structured piece after another costs 0.3 more, a brute-force character what its alphabet does."""
+    words, n, low = words or PLAIN, len(value), value.lower()
     pool = math.log10(10 if value.isdigit() else 16 if re.fullmatch("[0-9a-f]+", value) else 26 if value.isalpha() and value in (low, value.upper()) else 62 if value.isalnum() else 94)
     best = [0.0] + [math.inf] * n
-    dates = {m.start(): m.end() for m in DATE.finditer(value)}
     for i in range(n):
         at = best[i] + (0.3 if i else 0.0)
         best[i + 1] = min(best[i + 1], best[i] + pool)
-        for k in words.lengths:
-            cost = words.cost.get(plain[i : i + k]) if i + k <= n else None
-            if cost is not None:
-                part = value[i : i + k]
-                extra = 0.5 * (plain[i : i + k] != low[i : i + k]) + 0.3 * (part != part.lower())
-                best[i + k] = min(best[i + k], at + cost + extra)
-        if i in dates:
-            best[dates[i]] = min(best[dates[i]], at + 4.6)
-        j = i + 1
-        while j < n and j - i < PIECE and low[j] == low[i]:
-            j += 1
-        if j - i >= 3:
-            best[j] = min(best[j], at + pool + math.log10(j - i))
-        for width in (2, 3, 4):  # a block that comes again
-            block, j = low[i : i + width], i + width
-            while j - i < PIECE and low[j : j + width] == block and len(block) == width:
-                j += width
-            if j - i >= 2 * width:
-                best[j] = min(best[j], at + pool * width + math.log10(j - i))
-        j, turns, step = i + 1, 0, None
-        while j < n and j - i < PIECE and (frozenset((low[j - 1], low[j])) in NEXT or ord(low[j]) - ord(low[j - 1]) in (1, -1)):
-            now = ord(low[j]) - ord(low[j - 1])
-            turns, step, j = turns + (step not in (None, now)), now, j + 1
-            if j - i >= 4:
-                best[j] = min(best[j], at + 1.7 + math.log10(j - i) + 0.4 * turns)
+        for end, cost in pieces(value, i, pool, words):
+            best[end] = min(best[end], at + cost)
     return best[n]
 
 
@@ -110,15 +117,11 @@ def context_values(text: str) -> list[tuple[int, str]]:
     return [(start, value) for start, value in found if len(value) >= 6]
 
 
-def shared_words(df: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
-    """Runs of 3 to 20 letters in the values of credential contexts that two documents or more have, the commonest first, ties in order of letters; all rows, whole texts. At most ``most`` come to the driver."""
-
-    def run(batches):
-        for batch in cut_batches(batches):
-            found = [w for text in batch.column(0).to_pylist() for w in {w for _, v in context_values(text) for w in LETTERS.findall(v.lower())}]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
-
-    counts = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).mapInArrow(run, "word string").groupBy("word").agg(F.count("*").alias("n"))
+def corpus_words(df: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
+    """Runs of 3 to 20 letters, outside of hexadecimal runs and of values in credential contexts, that two documents or more have: those of most documents first, ties in order of letters; counted over all rows and whole texts. At most ``most`` come to the driver."""
+    low = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(CORPUS_WORD), F.lit(1)))).alias("word")).where("word <> ''")
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
     return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
@@ -129,8 +132,7 @@ def find_secrets(text: str, words: Words = PLAIN) -> tuple[list[tuple[int, int,
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     added = []
     for start, value in context_values(text):
-        # prose follows credential words too: a value has a digit, a sign inside or a capital after a small letter
-        if TELLING.search(value) and (cost := guess_cost(value, words)) >= COSTLY:
+        if (cost := guess_cost(value, words)) >= COSTLY:
             added.append((start, 3, start + len(value), cost))
     return sorted(base), added
 
@@ -140,11 +142,12 @@ def secret_spans(df: DataFrame, text_col: str = "text", keep: list[str] | None =
 
     Offsets are code points, ends exclusive; guess_cost (log10 of guesses) is
     given for added spans only. Two passes over whole texts, the first for
-    words that credential contexts share; no shuffle of texts. Null and empty texts
+    the words of the corpus; no shuffle of texts, but of words counted in
+    tasks. Null and empty texts
     give an empty array; repeated rows are scanned each; a column named
     secrets is replaced; an empty table gives an empty one.
     """
-    words = df.sparkSession.sparkContext.broadcast(Words(shared_words(df, text_col)))
+    words = df.sparkSession.sparkContext.broadcast(Words(corpus_words(df, text_col)))
 
     def make():
         def run(texts):
