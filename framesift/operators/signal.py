@@ -220,7 +220,7 @@ def stretched(series: DataFrame, key: str, rate: float, to: float) -> DataFrame:
     w = Window.partitionBy(key).orderBy("i")
     pairs = series.withColumn("then", F.lead("v").over(w)).join(n.withColumn("m", m).withColumn("step", step), key)
     place = lambda k: k * F.col("step")
-    near = F.when(F.col("step") > 0, F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("i") / F.col("step")) - 1), F.least(F.col("m") - 1, F.floor((F.col("i") + 1) / F.col("step")) + 1))).otherwise(F.array(F.lit(0).cast("long")))
+    near = F.when(F.col("step") > 0, F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("i") / F.col("step")) - 1), F.least(F.col("m") - 1, F.floor((F.col("i") + 1) / F.col("step")) + 1))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("m") - 1)))
     mine = pairs.where("m > 0").select(key, F.col("i").alias("from"), "v", "then", "step", F.explode(near).alias("i"))
     mine = mine.where(F.floor(place(F.col("i"))) == F.col("from"))
     return mine.select(key, "i", (F.col("v") + F.coalesce((F.col("then") - F.col("v")) * (place(F.col("i")) - F.col("from")), F.lit(0.0))).alias("v"))
