@@ -100,7 +100,8 @@ def greedy_dedupe(items: DataFrame, most: int = Analysis().hamming, by: tuple[st
 
     first = F.row_number().over(Window.partitionBy(*by, "hash").orderBy(F.col("score").desc(), "id"))
     order = cut_lineage(items.select(*by, "id", "hash", "score").where("hash <> 0").withColumn("__n", first).where("__n = 1").drop("__n"))
-    edges = near_pairs(order, most, by).select("a", "b")
+    largest = order.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0  # keys are looked up within a group
+    edges = near_pairs(order, most, by, largest).select("a", "b")
     s = order.select("id", "score")
     both = edges.join(s.toDF("a", "sa"), "a").join(s.toDF("b", "sb"), "b")
     a_first = (F.col("sa") > F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))
