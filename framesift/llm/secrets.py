@@ -17,8 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import map_texts
+from .common import cut_lineage, map_texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -118,11 +119,20 @@ def context_values(text: str) -> list[tuple[int, str]]:
 
 
 def corpus_words(df: DataFrame, text_col: str = "text", most: int = CORPUS_WORDS) -> list[str]:
-    """Runs of 3 to 20 letters, outside of hexadecimal runs and of values in credential contexts, that two documents or more have: those of most documents first, ties in order of letters; counted over all rows and whole texts. At most ``most`` come to the driver."""
+    """Runs of 3 to 20 letters, outside of hexadecimal runs and of values in credential contexts, that two documents or more have: those of most documents first, ties in order of letters; counted over all rows and whole texts.
+
+    At most ``most`` come to the driver: those above the least number of
+    documents at which all that have as many or more still fit. It is found
+    from how many words have each number, so no task sends its own best.
+    """
     low = F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     words = df.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(CORPUS_WORD), F.lit(1)))).alias("word")).where("word <> ''")
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    return [r.word for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"))
+    order = Window.orderBy(F.desc("n"))  # a row for each number that occurs
+    fit = counts.groupBy("n").agg(F.count("*").alias("words")).select("n", F.sum("words").over(order).alias("up_to")).where(F.col("up_to") <= most).agg(F.min("n")).first()[0]
+    if fit is None:
+        return []
+    return [r.word for r in sorted(counts.where(F.col("n") >= fit).collect(), key=lambda r: (-r.n, r.word))]
 
 
 def find_secrets(text: str, words: Words = PLAIN) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:

@@ -184,7 +184,7 @@ def test_guess_cost_is_the_best_segmentation():
 def test_words_of_the_corpus(spark):
     rows = [(1, "the token is required1 here"), (2, "a token is required2 there, as required3"), (3, "the token is Zq8vKp4mmXw! 0123456789abcdefcab required"), (4, "0123456789abcdefcab"), (5, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert corpus_words(df) == ["required", "the"] and corpus_words(df, most=1) == ["required"]
+    assert corpus_words(df) == ["required", "the"] and corpus_words(df, most=1) == []  # both or neither
     spans = {r.doc_id: [s.kind for s in r.secrets if s.kind != "hex"] for r in secret_spans(df).collect()}
     assert spans == {1: [], 2: [], 3: ["guess"], 4: [], 5: []}
 
@@ -282,3 +282,13 @@ def test_rows_by_id(spark, far):
     ids = spark.createDataFrame([(i * k,) for i in (-50, -1, 0, 1, 7, 8, 199, 199, 5000)], "id long")
     assert sorted(r.id for r in with_ids(df, "doc", ids).collect()) == [-50, -1, 0, 1, 7, 8, 199]
     assert with_ids(df, "doc", ids.limit(0)).count() == 0
+
+
+def test_trigrams_do_not_depend_on_the_partitions(spark):
+    from framesift.llm.toxicity import character_counts
+
+    rows = [("one two",), ("",), (None,), ("a",), ("ab",), ("over and over again",)] * 7
+    df = spark.createDataFrame(rows, "text string")
+    counts = [dict(map(tuple, character_counts(df.repartition(n)).collect())) for n in (1, 4)]
+    assert counts[0] == counts[1] and sum(counts[0].values()) == sum(len(x or "") for x, in rows)
+    assert character_counts(df.limit(0)).count() == 0
