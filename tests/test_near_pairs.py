@@ -33,3 +33,12 @@ def test_pairs_are_never_broadcast(spark):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastExchange" not in plan(QUERIES["near_pairs"](spark, DATA))
     assert "BroadcastExchange" not in plan(choose.keyed_pairs(_hashes(spark, DATA), 10, (), 10**6))
+
+
+def test_arcs_of_the_greedy_pass_are_never_broadcast(spark, monkeypatch):
+    from framesift.sources import shared
+
+    plans, cut = [], shared.cut_lineage
+    monkeypatch.setattr(shared, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    QUERIES["greedy_dedupe"](spark, DATA)
+    assert len(plans) > 3 and not any("BroadcastExchange" in plan for plan in plans)
