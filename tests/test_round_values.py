@@ -23,3 +23,11 @@ def test_two_places_round_the_binary_value(spark):
         assert r.t == f"{r.x:.2f}", r.x
     label = C.place_label(F.lit(-35.005), F.lit(135.015), F.lit(None).cast("string"))
     assert spark.range(1).select(label).first()[0] == f"{35.005:.2f}°S {135.015:.2f}°E"
+
+
+def test_location_report_rounds_the_binary_value(spark):
+    from framesift.sources import sinks
+
+    stops = spark.createDataFrame([(1, 0, 35.005, 135.015, 5, 0, 60_000_000)], "device long, stop long, lat double, lon double, n long, first_us long, last_us long")
+    line = sinks.location_report(stops.withColumn("label", C.place_label(F.col("lat"), F.col("lon"), F.lit(None).cast("string")))).first().line
+    assert line == f"| 1 | {35.005:.2f}°N {135.015:.2f}°E | 5 | 1970-01-01 00:00 - 1970-01-01 00:01 |"
