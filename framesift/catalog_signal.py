@@ -56,7 +56,7 @@ def tempo_estimate(spark: SparkSession, d: str) -> DataFrame:
 def beat_track(spark: SparkSession, d: str) -> DataFrame:
     """The hours that the best way through a device's events hits, at its tempo."""
     bins = _hours(spark, d)
-    out = signal.beats(signal.filled(bins, "device"), signal.tempo(bins, "device", FPS), "device", FPS)
+    out = signal.beats(bins, signal.tempo(bins, "device", FPS), "device", FPS)
     return out.select("device", "i", F.round("at_s", 6).alias("at_s"))
 
 

@@ -17,6 +17,8 @@ RANGE, FAVOURED, WIDTH, BETTER = (60.0, 185.0), 120.0, 0.9, 1.06
 #: Least samples that tell a tempo, and what stands without them.
 LEAST_SAMPLES, UNTOLD = 8, 120.0
 TIGHTNESS = 100.0
+#: Places of a series whose products are made in one window.
+BLOCK = 4096
 
 
 def binned(events: DataFrame, key: str, at: Column, width: float) -> DataFrame:
@@ -42,15 +44,19 @@ def autocorrelation(bins: DataFrame, key: str, lags: tuple[int, int]) -> DataFra
     """(key, lag, n, r) for each lag of the closed range below a key's number n of bins: the centred series times itself shifted, over its own square; n is the last bin's place, plus one.
 
     Bins without a row are 0 and cost nothing: what two bins give is their
-    product, joined by (key, place), so a long series spreads over the
-    cluster; the mean's share follows from the sums of all bins and of those
-    within a lag of either end.
+    product, found in a window over a block of a series and the bins up to the
+    greatest lag beyond it, so a long series spreads over the cluster and a
+    bin is shuffled once, not once a lag; the mean's share follows from the
+    sums of all bins and of those within a lag of either end.
     """
     low, high = lags
     whole = bins.groupBy(key).agg((F.max("i") + 1).alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("square"))
     every = F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high).cast("long"))).alias("lag")
-    shifted = bins.select(key, "i", "v", every).select(key, (F.col("i") + F.col("lag")).alias("i"), "lag", F.col("v").alias("u"))
-    products = shifted.join(bins, [key, "i"]).groupBy(key, "lag").agg(F.sum(F.col("u") * F.col("v")).alias("product"))
+    block = lambda i: F.floor(i / BLOCK)
+    dealt = bins.select(key, "i", "v", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), block(F.col("i") - high)), block(F.col("i")))).alias("block"))
+    ahead = F.collect_list(F.struct("i", "v")).over(Window.partitionBy(key, "block").orderBy("i").rangeBetween(low, high))
+    met = dealt.withColumn("ahead", ahead).where(F.col("block") == block(F.col("i"))).select(key, "i", "v", F.explode("ahead").alias("u"))
+    products = met.groupBy(key, (F.col("u.i") - F.col("i")).alias("lag")).agg(F.sum(F.col("u.v") * F.col("v")).alias("product"))
     edge = bins.join(whole.select(key, "n"), key).withColumns({"near": F.col("i"), "far": F.col("n") - 1 - F.col("i")}).where((F.col("near") < high) | (F.col("far") < high))
     missed = edge.select(key, "near", "far", "v", every).groupBy(key, "lag").agg(F.sum(F.when(F.col("near") < F.col("lag"), F.col("v")).otherwise(0.0) + F.when(F.col("far") < F.col("lag"), F.col("v")).otherwise(0.0)).alias("missed"))
     out = whole.select("*", every).where("lag < n").join(products, [key, "lag"], "left").join(missed, [key, "lag"], "left").fillna(0.0, ["product", "missed"])
@@ -129,12 +135,13 @@ class Beats:
 
 
 def beats(series: DataFrame, tempos: DataFrame, key: str, fps: float) -> DataFrame:
-    """(key, i, at_s): the samples of dense series (key, i from 0, v) that the best way through ends to its last one hits, given (key, bpm); none for a series under two periods or a period of a sample.
+    """(key, i, at_s): the samples of series (key, i from 0, v; places without a row are 0) that the best way through ends to its last one hits, given (key, bpm); none for a series under two periods or a period of a sample.
 
     Each sample looks back over two periods, so a series passes in its order,
     with two periods held; its way is then followed from the end, over the
-    samples in falling order, one place held. Null values are 0; an empty
-    table gives an empty one.
+    samples in falling order, one place held: they lie in the task that made
+    them, so they are sorted there and not shuffled. Null values are 0; an
+    empty table gives an empty one.
     """
     n = series.groupBy(key).agg((F.max("i") + 1).alias("n")).join(tempos.select(key, "bpm"), key)
     period = 60.0 * fps / F.col("bpm")
@@ -144,7 +151,7 @@ def beats(series: DataFrame, tempos: DataFrame, key: str, fps: float) -> DataFra
     shape = f"{key} {rows.schema[key].dataType.simpleString()}, i long, back long, last boolean"
 
     def ways(batches):
-        held, on = None, None
+        held, on, at = None, None, 0
         out: list[tuple] = []
 
         def made(last):
@@ -158,15 +165,17 @@ def beats(series: DataFrame, tempos: DataFrame, key: str, fps: float) -> DataFra
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for k, _, v, bpm in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, i, v, bpm in zip(*(c.to_pylist() for c in batch.columns)):
                 if on is None or k != held:
                     if on is not None:
                         out += [(held, *x) for x in on.close()]
                         yield made(True)
-                    held, on = k, Beats(bpm, fps)
-                out += [(held, *x) for x in on.push(v)]
-                if len(out) > 8192:
-                    yield made(False)
+                    held, on, at = k, Beats(bpm, fps), 0
+                while at <= i:
+                    out += [(held, *x) for x in on.push(v if at == i else 0.0)]
+                    at += 1
+                    if len(out) > 8192:
+                        yield made(False)
         if on is not None:
             out += [(held, *x) for x in on.close()]
             yield made(True)
@@ -186,7 +195,7 @@ def beats(series: DataFrame, tempos: DataFrame, key: str, fps: float) -> DataFra
                 yield batch.take(pa.array(take)).select([0, 1])
 
     told = rows.repartition(key).sortWithinPartitions(key, "i").mapInArrow(ways, shape)
-    way = told.repartition(key).sortWithinPartitions(key, F.col("i").desc()).mapInArrow(hits, f"{key} {rows.schema[key].dataType.simpleString()}, i long")
+    way = told.sortWithinPartitions(key, F.col("i").desc()).mapInArrow(hits, f"{key} {rows.schema[key].dataType.simpleString()}, i long")
     return way.withColumn("at_s", F.col("i") / fps)
 
 
