@@ -27,6 +27,8 @@ ODD_SPACE = regex.compile("[\\x1c-\\x1f]")
 NO_RANK = np.iinfo(np.int32).max
 #: Bytes of words and ids that an encoder remembers.
 KEPT_BYTES = 16 << 20
+#: Bytes of texts that are cut into stretches at once: a stretch takes some ten times its bytes.
+TEXT_BYTES = 1 << 19
 
 
 def byte_symbols() -> list[str]:
@@ -184,4 +186,4 @@ def bpe_round_trip(df: DataFrame, vocabulary: str, text_col: str = "text", keep:
         return run
 
     out = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())]
-    return map_texts(df, text_col, make, out, keep)
+    return map_texts(df, text_col, make, out, keep, TEXT_BYTES)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import cut_batches, cut_lineage, map_texts
+from .common import cut_batches, cut_lineage, lean, map_texts
 
 #: Labelled training rows that are fetched for each label; a bound of the fit, not of the corpus.
 TRAIN_ROWS = 4000
@@ -68,7 +68,7 @@ def character_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["code", "n"])
 
     texts = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return texts.mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(lean(count), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def character_model(counts: DataFrame) -> np.ndarray:
@@ -245,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        return train.mapInArrow(run, schema)
+        return train.mapInArrow(lean(run), schema)
 
     told = over(lambda rows: ((i, y, longest(w)) for i, y, w in rows), "i long, y int, w array<long>").collect()
     counted = uncopied([(r.i, r.y, r.w) for r in told])
