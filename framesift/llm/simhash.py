@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut_batches, cut_lineage, map_texts, space_words, with_ids
+from .common import cut_batches, cut_lineage, lean, map_texts, space_words, with_ids
 
 SEED = 42
 WIDE_PIVOTS = 12
+#: Differing bits at which fingerprints link, and the blocks by which they are looked up.
+RADIUS, BLOCKS = 2, 5
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -189,7 +191,7 @@ def run_links(fp: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate([*out_a, fp[at]]), np.concatenate([*out_b, fp[root[at]]])
 
 
-def links(distinct: DataFrame, radius: int = 2, blocks: int = 5) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Links (a, b), both fingerprints, that connect all distinct fingerprints ``fp`` within ``radius`` differing bits, directly or by way of others."""
 
     def spread(batches):
@@ -212,8 +214,8 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int = 5) -> DataFrame:
                 a, b = run_links(np.ascontiguousarray(part[1]).view(np.uint64), part[0], radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    keyed = distinct.select("fp").mapInArrow(spread, "key long, fp long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct()
+    keyed = distinct.select("fp").mapInArrow(lean(spread), "key long, fp long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lean(search), "a long, b long").distinct()
 
 
 def _with_end(batches):
@@ -233,7 +235,7 @@ def task_forest(edges: DataFrame) -> DataFrame:
             low = np.flatnonzero(root != np.arange(len(names)))
             yield pa.RecordBatch.from_arrays([pa.array(names[root[low]]), pa.array(names[low])], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(lean(run), "a long, b long")
 
 
 def component_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -275,6 +277,8 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.join(member, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Rows of a run whose distances to all its rows are tabled.
+PIVOTS = 4
 #: Bins of a large set's keys (the two least hashes of each), and bits of a set's map.
 BINS, MAP_BITS = 16, 256
 #: Sets of fewer hashes have a parity map and their least hashes as keys, others a SimHash of MAP_BITS; pairs at J = similarity lie this many deviations within the SimHash bound.
@@ -325,6 +329,11 @@ def set_map(hashes: np.ndarray) -> bytes:
     return parity_map(hashes) if len(hashes) < SMALL_SET else wide_fingerprint(hashes)
 
 
+def set_simhash(hashes: np.ndarray, made: bytes) -> np.uint64:
+    """The 64-bit SimHash of a set, with which the wide fingerprint of a large one begins."""
+    return np.frombuffer(made[:8], np.uint64)[0] if len(hashes) >= SMALL_SET else np.uint64(majority(bit_counts(hashes), len(hashes)))
+
+
 def far(similarity: float) -> float:
     """SimHash bits beyond which sets are not this similar: the expected number of differing bits at that similarity (the angle of equally large sets, the widest) and SLACK deviations."""
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -332,7 +341,7 @@ def far(similarity: float) -> float:
 
 
 def set_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys of a set. Small sets, and those that may be similar to one, have their least hashes: similar sets share one. Large sets have a mixing of the two least hashes of each of BINS: sets at similarity 0.8 share each with a chance of 0.64."""
+    """Keys of a set by its least hashes. Small sets, and those that may be similar to one, have their least hashes: similar sets share one. Large sets have a mixing of the two least hashes of each of BINS: sets at similarity 0.8 share each with a chance of 0.64."""
     n = len(hashes)
     least = hashes[: prefix_length(n, similarity)] if n * similarity < SMALL_SET else hashes[:0]
     if n < SMALL_SET:
@@ -345,12 +354,29 @@ def set_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
     return np.concatenate([least, (hashes[order[at]] * np.uint64(0x9E3779B97F4A7C15)) ^ hashes[order[at + 1]]])
 
 
-def alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, maps: np.ndarray, similarity: float) -> np.ndarray:
-    """Which pairs of rows may be this similar, by their sizes and maps: what small sets do not share bounds the bits in which their maps differ; large sets whose fingerprints differ in too many bits are discarded."""
+def pivot_table(key: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """Distances of each row's map to those of PIVOTS rows of its key, evenly spaced; rows come by key."""
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(starts, len(key)))
+    at = [np.repeat(starts + size * k // PIVOTS, size) for k in range(PIVOTS)]
+    return np.stack([np.bitwise_count(maps ^ maps[x]).sum(1, dtype=np.int16) for x in at])
+
+
+def widest(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Bits in which maps of sets of a and b members, a <= b, may differ at this similarity: what small sets do not share bounds it; large sets differ by a SimHash; a small and a large one by any number."""
+    return np.where(b < SMALL_SET, (1 - similarity) / (1 + similarity) * (a + b) + 1e-6, np.where(a < SMALL_SET, MAP_BITS, far(similarity)))
+
+
+def alike(i: np.ndarray, j: np.ndarray, n: np.ndarray, maps: np.ndarray, pivots: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows may be this similar, by their sizes and maps. Pairs whose distances to a pivot differ by more than their maps may are discarded (triangle inequality), the others' differing bits counted."""
     a, b = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-    differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
-    near = np.where(b < SMALL_SET, differ * (1 + similarity) <= (1 - similarity) * (a + b) + 1e-6, (a < SMALL_SET) | (differ <= far(similarity)))
-    return near & (a >= similarity * b - 1e-9)
+    most = widest(a, b, similarity)
+    near = a >= similarity * b - 1e-9
+    for row in pivots:
+        near &= np.abs(row[i] - row[j]) <= most
+    at = np.flatnonzero(near)
+    near[at] = np.bitwise_count(maps[i[at]] ^ maps[j[at]]).sum(1, dtype=np.int64) <= most[at]
+    return near
 
 
 def turned(maps: np.ndarray, turn: int) -> np.ndarray:
@@ -365,6 +391,7 @@ def run_pairs(key: np.ndarray, part: np.ndarray, n: np.ndarray, maps: np.ndarray
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(starts, len(key)))
     of = np.repeat(size, size)
+    pivots = pivot_table(key, maps)
     if turn == 0:
         live, lag = np.flatnonzero((of > 1) & (of <= WHOLE_RUN)), 1
         while True:
@@ -373,7 +400,7 @@ def run_pairs(key: np.ndarray, part: np.ndarray, n: np.ndarray, maps: np.ndarray
             if not len(live):
                 break
             i = live[part[live] != part[live + lag]]
-            i = i[alike(i, i + lag, n, maps, similarity)]
+            i = i[alike(i, i + lag, n, maps, pivots, similarity)]
             yield i, i + lag
             lag += 1
     large = np.flatnonzero(of > WHOLE_RUN)
@@ -385,7 +412,7 @@ def run_pairs(key: np.ndarray, part: np.ndarray, n: np.ndarray, maps: np.ndarray
             i, j = order[:-lag], order[lag:]
             ok = (key[i] == key[j]) & (part[i] != part[j])
             i, j = i[ok], j[ok]
-            ok = alike(i, j, n, maps, similarity)
+            ok = alike(i, j, n, maps, pivots, similarity)
             i, j = i[ok], j[ok]
             differ = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64)
             for x, y in ((i, j), (j, i)):
@@ -424,7 +451,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in range(4)], names=["a", "b", "pa", "pb"])
 
     dealt = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "pa", "pb", "x", "y")
-    return dealt.mapInArrow(count, "a long, b long, pa long, pb long")
+    return dealt.mapInArrow(lean(count), "a long, b long, pa long, pb long")
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -432,9 +459,13 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
 
     Texts link when the Jaccard similarity of their whole sets, counted, is
     ``similarity`` or more; classes are what links connect. Candidates share a
-    key (``set_keys``: all similar small sets do, similar large sets but one
-    pair in ten million) and pass the bound of their maps (SimHash fingerprints
-    of large sets, SLACK deviations beyond what the similarity lets expect).
+    key: the distances of their SimHash to all references inside some blocks
+    (``bucket_keys``, all within RADIUS bits do), or least hashes, as similar
+    sets' SimHashes may lie further apart (``set_keys``: all similar small sets
+    do, similar large sets but one pair in ten million). Inside a key, pairs are
+    discarded by their distances to the run's pivots, then by the bound of their
+    maps (SimHash fingerprints of large sets, SLACK deviations beyond what the
+    similarity lets expect); the others' sets are compared.
     Runs of a key of more than WHOLE_RUN sets are not compared pair by pair but
     by neighbours in orders of the maps' bits, which turn until few links are
     new (FEW_NEW of the first turn's), so a large group costs links, not pairs; two similar sets in such a run
@@ -448,11 +479,15 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     def make():
         def run(texts):
             out = {k: [] for k in ("node", "n", "map", "keys")}
+            least, fp = [], []
             for h in (shingle_set(t, shingle) for t in texts):
                 out["node"].append(np.uint64(set_id(h)).astype(np.int64))
                 out["n"].append(len(h))
                 out["map"].append(set_map(h))
-                out["keys"].append(set_keys(h, similarity).view(np.int64))
+                least.append(set_keys(h, similarity))
+                fp.append(set_simhash(h, out["map"][-1]))
+            near = bucket_keys(np.array(fp, np.uint64), RADIUS, BLOCKS).T
+            out["keys"] = [np.concatenate([x, y[: len(y) * bool(n)]]).view(np.int64) for x, y, n in zip(least, near, out["n"])]
             return out
 
         return run
@@ -511,8 +546,8 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text_col: str
     known = nodes.select("node", "n", "map")
     while True:
         entries = (live.where(large) if turn else live).join(known.join(parts, "node"), "node").select("key", "m", "node", "part", "n", "map")
-        dealt = entries.mapInArrow(cut(turn), "key long, node long, part long, n int, map binary").repartition("key").sortWithinPartitions("key")
-        pairs = cut_lineage(dealt.mapInArrow(search(turn), "a long, b long, pa long, pb long").distinct())
+        dealt = entries.mapInArrow(lean(cut(turn)), "key long, node long, part long, n int, map binary").repartition("key").sortWithinPartitions("key")
+        pairs = cut_lineage(dealt.mapInArrow(lean(search(turn)), "a long, b long, pa long, pb long").distinct())
         near = cut_lineage(similar(pairs, sets, similarity).select("pa", "pb").distinct())
         n = near.count()
         first = n if turn == 0 else first

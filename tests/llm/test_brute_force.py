@@ -292,3 +292,44 @@ def test_trigrams_do_not_depend_on_the_partitions(spark):
     counts = [dict(map(tuple, character_counts(df.repartition(n)).collect())) for n in (1, 4)]
     assert counts[0] == counts[1] and sum(counts[0].values()) == sum(len(x or "") for x, in rows)
     assert character_counts(df.limit(0)).count() == 0
+
+
+def test_pivots_discard_no_pair_that_maps_allow():
+    from framesift.llm import simhash as S
+
+    rnd = np.random.default_rng(5)
+    sets, key = [], []
+    for k in range(30):  # runs of worn copies and of sets of other sizes, small and large
+        base = rnd.integers(0, 1 << 63, rnd.choice([20, 60, 70, 300]), dtype=np.uint64)
+        for _ in range(12):
+            worn = base.copy()
+            at = rnd.integers(0, len(base), rnd.integers(0, len(base) // 3))
+            worn[at] = rnd.integers(0, 1 << 63, len(at), dtype=np.uint64)
+            sets.append(np.unique(worn))
+            key.append(k // 3)
+    maps = np.stack([np.frombuffer(S.set_map(x), np.uint64) for x in sets])
+    n, key = np.array([len(x) for x in sets]), np.array(key)
+    pivots = S.pivot_table(key, maps)
+    i, j = np.triu_indices(len(sets), 1)
+    i, j = i[key[i] == key[j]], j[key[i] == key[j]]
+    got, plain = S.alike(i, j, n, maps, pivots, 0.8), S.alike(i, j, n, maps, pivots[:0], 0.8)
+    assert (got == plain).all() and got.any() and (pivots == 0).any(0).sum() >= 4
+    a, b = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    apart = (np.abs(pivots[:, i] - pivots[:, j]) > S.widest(a, b, 0.8)).any(0)
+    assert apart.sum() > len(i) // 10 and not plain[apart].any()
+    both = np.array([len(np.intersect1d(sets[x], sets[y])) for x, y in zip(i, j)])
+    assert got[5 * both >= 4 * (n[i] + n[j] - both)].all()
+
+
+def test_near_copies_share_keys_of_the_pivot_table(spark, monkeypatch):
+    from framesift.llm import simhash as S
+
+    rnd = random.Random(9)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(900)]
+    texts = [" ".join(words), " ".join(words[:899]), "", " ".join(f"y{rnd.randrange(10**6)}" for _ in range(900))]
+    a, b = (S.shingle_set(x, 5) for x in texts[:2])
+    fp = np.array([S.set_simhash(x, S.set_map(x)) for x in (a, b)], np.uint64)
+    assert fp.tolist() == [S.majority(S.bit_counts(x), len(x)) for x in (a, b)] and np.bitwise_count(fp[0] ^ fp[1]) <= S.RADIUS
+    monkeypatch.setattr(S, "set_keys", lambda hashes, similarity: hashes[:0])  # without least hashes
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in S.near_duplicate_classes(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
